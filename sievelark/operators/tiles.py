@@ -207,7 +207,8 @@ def first_partner(left: DataFrame, right: DataFrame, threshold: float, *, strict
     return best.select(F.col("_a").alias("_id"), F.col("m._b").alias("_rep"), F.col("m._d").alias("_d"))
 
 
-def k_nearest(left: DataFrame, right: DataFrame, k: int, *, skip_self: bool = True, block: int = BLOCK) -> DataFrame:
+def k_nearest(left: DataFrame, right: DataFrame, k: int, *, skip_self: bool = True, earlier_only: bool = False,
+              block: int = BLOCK) -> DataFrame:
     """The k nearest right rows of every left row, ranked by (distance, id)."""
     from pyspark.sql import Window
 
@@ -215,13 +216,16 @@ def k_nearest(left: DataFrame, right: DataFrame, k: int, *, skip_self: bool = Tr
         X, Y = _matrix(l["_x"]), _matrix(r["_x"])
         lid, rid = l["_id"].to_numpy(), r["_id"].to_numpy()
         by_id = np.argsort(rid, kind="stable")
-        Y, rid = Y[by_id], rid[by_id]
+        Y, rid, le, re = Y[by_id], rid[by_id], l["_e"].to_numpy(), r["_e"].to_numpy()[by_id]
         out = []
         for s in range(0, len(X), 256):
             d = np.sqrt(((X[s:s + 256, None, :] - Y[None, :, :]) ** 2).sum(2)) if X.shape[1] <= 8 else \
                 np.stack([np.sqrt(((Y - x) ** 2).sum(1)) for x in X[s:s + 256]])
             if skip_self:
                 d[lid[s:s + 256, None] == rid[None, :]] = np.inf
+            if earlier_only:
+                a, b = le[s:s + 256, None], re[None, :]
+                d[~((b < a) | ((b == a) & (rid[None, :] < lid[s:s + 256, None])))] = np.inf
             top = np.argsort(d, axis=1, kind="stable")[:, :k]
             for n, row in enumerate(top):
                 row = row[np.isfinite(d[n, row])]
