@@ -235,27 +235,25 @@ def pair_distance_sums(rows: DataFrame, *, block: int | None = None, edges: list
 
     Pairs live only inside a tile task; each tile returns one summary row.
     """
-    from sievelark.operators.tiles import BLOCK, _matrix, tile_join
-
-    def distances(l, r):
-        X, Y = _matrix(l["_x"]), _matrix(r["_x"])
-        for n in range(len(X)):
-            later = r["_id"].to_numpy() > l["_id"].iloc[n]
-            if later.any():
-                yield np.sqrt(((Y[later] - X[n]) ** 2).sum(1))
-
-    def summary(l, r):
-        n, s, lo, hi = 0, 0.0, np.inf, -np.inf
-        for d in distances(l, r):
-            n, s, lo, hi = n + len(d), s + float(d.sum()), min(lo, float(d.min())), max(hi, float(d.max()))
-        return pd.DataFrame({"_g": [l["_g"].iloc[0]], "n": [n], "s": [s], "lo": [lo], "hi": [hi]})
-
-    def counts(l, r):
-        c = np.zeros(len(edges) - 1, dtype="int64")
-        for d in distances(l, r):
-            c += np.histogram(d, bins=np.array(edges))[0]
-        k = np.nonzero(c)[0]
-        return pd.DataFrame({"_g": l["_g"].iloc[0], "bin": k, "n": c[k]})
+    from sievelark.operators.tiles import BLOCK, Tiles, tile_join
+
+    def distances(t: Tiles):
+        for i, j in t.steps():
+            later = t.rid[j] > t.lid[i]
+            i, j = i[later], j[later]
+            yield pd.DataFrame({"_g": t.l["_g"].to_numpy()[i], "d": t.distance(i, j)})
+
+    def summary(t: Tiles):
+        parts = [p.groupby("_g")["d"].agg(n="count", s="sum", lo="min", hi="max").reset_index() for p in distances(t)]
+        return pd.concat(parts) if parts else pd.DataFrame({"_g": [], "n": [], "s": [], "lo": [], "hi": []})
+
+    def counts(t: Tiles):
+        parts = []
+        for p in distances(t):
+            p["bin"] = np.searchsorted(np.array(edges), p["d"].to_numpy(), side="right") - 1
+            p = p[(p["bin"] >= 0) & (p["bin"] < len(edges) - 1)]
+            parts.append(p.groupby(["_g", "bin"]).size().rename("n").reset_index())
+        return pd.concat(parts) if parts else pd.DataFrame({"_g": [], "bin": [], "n": []})
 
     if edges is None:
         t = tile_join(rows, rows, None, summary, "_g string, n long, s double, lo double, hi double", block or BLOCK)

@@ -44,6 +44,7 @@ def has_nan(x: Column | str) -> Column:
 class Grid:
     axes: list[int]
     width: float
+    rows: int = 0
 
     def cell(self, x: Column) -> Column:
         return F.array(*[F.floor(x[a] / self.width).cast("long") for a in self.axes])
@@ -59,10 +60,10 @@ class Grid:
 
 def plan_grid(df: DataFrame, threshold: float, block: int = BLOCK, n_axes: int = 2) -> Grid:
     """Pick the widest feature axes and a cell width that is at least the threshold."""
-    head = df.select(F.max(F.size("_x"))).first()[0] or 0
-    if head <= 0:
-        return Grid([], 1.0)
-    aggs = [F.count(F.lit(1)).alias("n")]
+    head, rows = df.select(F.max(F.size("_x")), F.count(F.lit(1))).first()
+    if not head or head <= 0:
+        return Grid([], 1.0, rows)
+    aggs = []
     for i in range(head):
         v = F.get(F.col("_x"), F.lit(i))
         aggs += [F.max(v).alias(f"hi{i}"), F.min(v).alias(f"lo{i}")]
@@ -71,48 +72,97 @@ def plan_grid(df: DataFrame, threshold: float, block: int = BLOCK, n_axes: int =
     width = max(float(threshold) * (1.0 + 1e-9), 1e-12)
     axes = [-i for span, i in spans[:n_axes] if span > width]
     if not axes:
-        return Grid([], 1.0)
-    cells_wanted = max(1.0, row["n"] / max(1.0, block / 4.0))
-    per_axis = max(1.0, cells_wanted ** (1.0 / len(axes)))
-    return Grid(axes, max(width, spans[0][0] / per_axis))
+        return Grid([], 1.0, rows)
+    per_axis = max(1.0, (rows / max(1.0, block / 4.0)) ** (1.0 / len(axes)))
+    return Grid(axes, max(width, spans[0][0] / per_axis), rows)
 
 
 def _matrix(col_: pd.Series) -> np.ndarray:
     return np.array(col_.tolist(), dtype=float) if len(col_) else np.empty((0, 0))
 
 
-def _close(L: pd.DataFrame, R: pd.DataFrame, threshold: float, strict: bool, gate) -> tuple:
-    """Index pairs within the threshold: a coarse product form first, then the exact distance."""
-    X, Y = _matrix(L["_x"]), _matrix(R["_x"])
-    if X.shape[1] == 0:
-        i, j = (v.ravel() for v in np.indices((len(X), len(Y))))
-        d = np.zeros(len(i))
-    else:
-        xx, yy = (X * X).sum(1), (Y * Y).sum(1)
-        approx = xx[:, None] + yy[None, :] - 2.0 * (X @ Y.T)
-        slack = 1e-9 * (xx[:, None] + yy[None, :]) + 1e-12
-        i, j = np.nonzero(approx <= threshold * threshold + slack)
-        d = np.sqrt(((X[i] - Y[j]) ** 2).sum(1))
-    ok = (d < threshold) if strict else (d <= threshold)
-    if gate is not None:
-        ok &= gate(L["_e"].to_numpy()[i], R["_e"].to_numpy()[j])
-    return i[ok], j[ok], d[ok]
-
-
-def _pair_frame(L, R, i, j, d) -> pd.DataFrame:
-    return pd.DataFrame({
-        "_g": L["_g"].to_numpy()[i], "_ea": L["_e"].to_numpy()[i], "_a": L["_id"].to_numpy()[i],
-        "_eb": R["_e"].to_numpy()[j], "_b": R["_id"].to_numpy()[j], "_d": d})
+class Tiles:
+    """The rows of one task: several small tiles, or one chunk pair of a large cell."""
+
+    WORK = 4_000_000  # numbers per vectorised step
+    LARGE = 20_000  # pairs from which a tile is first screened by a matrix product
+
+    def __init__(self, l: pd.DataFrame, r: pd.DataFrame):
+        # a tile is named by its group and its cell; group codes keep different groups apart
+        both = pd.concat([l[["_g", "_h"]], r[["_g", "_h"]]])
+        code = pd.MultiIndex.from_frame(both).factorize()[0]
+        cl, cr = code[:len(l)], code[len(l):]
+        ol, orr = np.argsort(cl, kind="stable"), np.argsort(cr, kind="stable")
+        self.l, self.r = l.iloc[ol].reset_index(drop=True), r.iloc[orr].reset_index(drop=True)
+        self.cl, cr = cl[ol], cr[orr]
+        n = int(code.max()) + 1 if len(code) else 0
+        self.nr = np.bincount(cr, minlength=n)
+        self.r0 = np.concatenate([[0], np.cumsum(self.nr)])[:-1] if n else np.empty(0, dtype=int)
+        dims = [len(v) for v in self.l["_x"]] + [len(v) for v in self.r["_x"]]
+        self.dim = max(dims, default=0)
+        pad = lambda s: np.array([list(v) + [0.0] * (self.dim - len(v)) for v in s], dtype=float).reshape(len(s), self.dim)
+        self.X, self.Y = pad(self.l["_x"]), pad(self.r["_x"])
+        self.lid, self.rid = self.l["_id"].to_numpy(), self.r["_id"].to_numpy()
+        self.le, self.re = self.l["_e"].to_numpy(), self.r["_e"].to_numpy()
+
+    def steps(self):
+        """Index arrays (i, j) over all pairs of equal tiles; a step holds whole left rows."""
+        width = self.nr[self.cl] if len(self.cl) else np.empty(0, dtype=int)
+        limit = max(1, self.WORK // max(1, self.dim))
+        s = 0
+        ends = np.cumsum(width)
+        while s < len(width):
+            base = ends[s - 1] if s else 0
+            e = max(s + 1, int(np.searchsorted(ends, base + limit, side="right")))
+            w = width[s:e]
+            i = np.repeat(np.arange(s, e), w)
+            j = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w) + np.repeat(self.r0[self.cl[s:e]], w)
+            if len(i):
+                yield i, j
+            s = e
+
+    def distance(self, i, j) -> np.ndarray:
+        return np.sqrt(((self.X[i] - self.Y[j]) ** 2).sum(1))
+
+    def earlier(self, i, j) -> np.ndarray:
+        """Left row before right row in (order, id)."""
+        return (self.le[i] < self.re[j]) | ((self.le[i] == self.re[j]) & (self.lid[i] < self.rid[j]))
+
+    def close(self, threshold: float, strict: bool, gate):
+        """Pairs within the threshold as (i, j, d)."""
+        xx, yy = (self.X * self.X).sum(1), (self.Y * self.Y).sum(1)
+        out = []
+        for i, j in self.steps():
+            if len(i) > self.LARGE:
+                approx = xx[i] + yy[j]
+                rows = np.unique(i)
+                at = 0
+                for c in np.unique(self.cl[rows]):
+                    a = rows[self.cl[rows] == c]
+                    b = slice(self.r0[c], self.r0[c] + self.nr[c])
+                    prod = (self.X[a] @ self.Y[b].T).ravel()
+                    approx[at:at + len(prod)] -= 2.0 * prod
+                    at += len(prod)
+                m = approx <= threshold * threshold + 1e-9 * (xx[i] + yy[j]) + 1e-12
+                i, j = i[m], j[m]
+            d = self.distance(i, j)
+            ok = (d < threshold) if strict else (d <= threshold)
+            if gate is not None:
+                ok &= gate(self.le[i], self.re[j])
+            out.append((i[ok], j[ok], d[ok]))
+        if not out:
+            z = np.empty(0, dtype=int)
+            return z, z, np.empty(0)
+        return tuple(np.concatenate(v) for v in zip(*out))
+
+    def frame(self, i, j, d) -> pd.DataFrame:
+        return pd.DataFrame({"_g": self.l["_g"].to_numpy()[i], "_ea": self.le[i], "_a": self.lid[i],
+                             "_eb": self.re[j], "_b": self.rid[j], "_d": d})
 
 
 PAIR_SCHEMA = "_g string, _ea double, _a long, _eb double, _b long, _d double"
 
 
-def _earlier(L, R, i, j) -> np.ndarray:
-    ea, eb = L["_e"].to_numpy()[i], R["_e"].to_numpy()[j]
-    return (ea < eb) | ((ea == eb) & (L["_id"].to_numpy()[i] < R["_id"].to_numpy()[j]))
-
-
 def spanning_edges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Mask of the edges that join two parts not yet connected."""
     parent: dict = {}
@@ -138,6 +188,7 @@ def tile_join(left: DataFrame, right: DataFrame, grid: Grid | None, kernel: Call
     fresh = lambda df: df.where(~has_nan("_x")).select(*[F.col(c).alias(c) for c in ("_g", "_id", "_e", "_x")])
     left, right = fresh(left), fresh(right)
     empty = F.array().cast("array<bigint>")
+    rows = grid.rows if grid is not None else left.count()
     if grid is None or not grid.axes:
         L, R = left.withColumn("_c", empty), right.withColumn("_c", empty)
     else:
@@ -147,15 +198,17 @@ def tile_join(left: DataFrame, right: DataFrame, grid: Grid | None, kernel: Call
     nl = L.groupBy("_g", "_c").agg(F.count(F.lit(1)).alias("_nl"))
     nr = R.groupBy("_g", "_c").agg(F.count(F.lit(1)).alias("_nr"))
     size = nl.join(nr, ["_g", "_c"]).select("_g", "_c", chunks("_nl").alias("_nl"), chunks("_nr").alias("_nr"))
+    buckets = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // block))
     mine = lambda n: F.pmod(F.xxhash64("_id"), F.col(n).cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["_g", "_c", "_id", "_e", "_x"]
+    # cells of one chunk share a task by bucket; further chunks of a large cell get their own
+    cols = [F.pmod(F.xxhash64("_g", "_c"), F.lit(buckets)).alias("_k"), "_g", F.xxhash64("_c").alias("_h"), "_id", "_e", "_x"]
     Lt = L.join(size, ["_g", "_c"]).select(*cols, mine("_nl").alias("_i"), every("_nr").alias("_j"))
     Rt = R.join(size, ["_g", "_c"]).select(*cols, every("_nl").alias("_i"), mine("_nr").alias("_j"))
-    key = ["_g", "_c", "_i", "_j"]
+    key = ["_k", "_i", "_j"]
 
     def run(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        return kernel(l, r)
+        return kernel(Tiles(l, r))
 
     return Lt.groupBy(*key).cogroup(Rt.groupBy(*key)).applyInPandas(run, schema)
 
@@ -169,14 +222,14 @@ def near_pairs(df: DataFrame, threshold: float, *, strict=False, gate=None, grid
     """
     grid = grid or plan_grid(df, threshold, block)
 
-    def kernel(l, r):
-        i, j, d = _close(l, r, threshold, strict, gate)
-        m = _earlier(l, r, i, j)
+    def kernel(t: Tiles):
+        i, j, d = t.close(threshold, strict, gate)
+        m = t.earlier(i, j)
         i, j, d = i[m], j[m], d[m]
         if forest:
-            k = spanning_edges(l["_id"].to_numpy()[i], r["_id"].to_numpy()[j])
+            k = spanning_edges(t.lid[i], t.rid[j])
             i, j, d = i[k], j[k], d[k]
-        return _pair_frame(l, r, i, j, d)
+        return t.frame(i, j, d)
 
     return tile_join(df, df, grid, kernel, PAIR_SCHEMA, block)
 
@@ -186,8 +239,8 @@ def cross_pairs(left: DataFrame, right: DataFrame, threshold: float, *, strict=F
     """Pairs between two tables within the threshold."""
     grid = plan_grid(right, threshold, block)
 
-    def kernel(l, r):
-        return _pair_frame(l, r, *_close(l, r, threshold, strict, gate))
+    def kernel(t: Tiles):
+        return t.frame(*t.close(threshold, strict, gate))
 
     return tile_join(left, right, grid, kernel, PAIR_SCHEMA, block)
 
@@ -197,10 +250,12 @@ def first_partner(left: DataFrame, right: DataFrame, threshold: float, *, strict
     """For each left row its earliest right row within the threshold: ``_id, _rep, _d``."""
     grid = plan_grid(right, threshold, block)
 
-    def kernel(l, r):
-        i, j, d = _close(l, r, threshold, strict, gate)
-        p = _pair_frame(l, r, i, j, d).sort_values(["_a", "_eb", "_b"], kind="stable")
-        return p.drop_duplicates("_a")
+    def kernel(t: Tiles):
+        i, j, d = t.close(threshold, strict, gate)
+        order = np.lexsort((t.rid[j], t.re[j], i))
+        i, j, d = i[order], j[order], d[order]
+        head = np.r_[True, i[1:] != i[:-1]] if len(i) else np.empty(0, dtype=bool)
+        return t.frame(i[head], j[head], d[head])
 
     hits = tile_join(left, right, grid, kernel, PAIR_SCHEMA, block)
     best = hits.groupBy("_a").agg(F.min(F.struct("_eb", "_b", "_d")).alias("m"))
@@ -212,24 +267,22 @@ def k_nearest(left: DataFrame, right: DataFrame, k: int, *, skip_self: bool = Tr
     """The k nearest right rows of every left row, ranked by (distance, id)."""
     from pyspark.sql import Window
 
-    def kernel(l, r):
-        X, Y = _matrix(l["_x"]), _matrix(r["_x"])
-        lid, rid = l["_id"].to_numpy(), r["_id"].to_numpy()
-        by_id = np.argsort(rid, kind="stable")
-        Y, rid, le, re = Y[by_id], rid[by_id], l["_e"].to_numpy(), r["_e"].to_numpy()[by_id]
+    def kernel(t: Tiles):
         out = []
-        for s in range(0, len(X), 256):
-            d = np.sqrt(((X[s:s + 256, None, :] - Y[None, :, :]) ** 2).sum(2)) if X.shape[1] <= 8 else \
-                np.stack([np.sqrt(((Y - x) ** 2).sum(1)) for x in X[s:s + 256]])
+        for i, j in t.steps():
+            m = np.ones(len(i), dtype=bool)
             if skip_self:
-                d[lid[s:s + 256, None] == rid[None, :]] = np.inf
+                m &= t.lid[i] != t.rid[j]
             if earlier_only:
-                a, b = le[s:s + 256, None], re[None, :]
-                d[~((b < a) | ((b == a) & (rid[None, :] < lid[s:s + 256, None])))] = np.inf
-            top = np.argsort(d, axis=1, kind="stable")[:, :k]
-            for n, row in enumerate(top):
-                row = row[np.isfinite(d[n, row])]
-                out.append(pd.DataFrame({"_a": lid[s + n], "_b": rid[row], "_d": d[n, row]}))
+                m &= (t.re[j] < t.le[i]) | ((t.re[j] == t.le[i]) & (t.rid[j] < t.lid[i]))
+            i, j = i[m], j[m]
+            d = t.distance(i, j)
+            order = np.lexsort((t.rid[j], d, i))
+            i, j, d = i[order], j[order], d[order]
+            start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.empty(0, dtype=int)
+            rank = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)]))
+            top = rank < k
+            out.append(pd.DataFrame({"_a": t.lid[i[top]], "_b": t.rid[j[top]], "_d": d[top]}))
         return pd.concat(out) if out else pd.DataFrame({"_a": [], "_b": [], "_d": []})
 
     hits = tile_join(left, right, None, kernel, "_a long, _b long, _d double", block)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("selection", "clusters")
+MODULES = ("selection", "clusters", "joins", "aggregates")
 
 
 def load() -> None:
