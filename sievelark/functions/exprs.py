@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from sievelark.functions.fixed import COVALENT_RADII, SYMBOLS
@@ -180,8 +181,6 @@ def safe_name(c: Column | str) -> Column:
 
 def fixed_decimals(c: Column | str, digits: int = 3) -> Column:
     """``%.{digits}f`` rounded half-to-even on the exact binary value, as C and Python print it."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fmt(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if v is None else f"{v:.{digits}f}")

@@ -147,3 +147,27 @@ def next_fit_batches(df: DataFrame, id: str, size: Column | str, limit: float, *
     marked = acc.join(starts.withColumn("_open", F.lit(1)), "_id", "left")
     out = ordered_scan(marked, ["_pos"], group=group, sums={batch: F.coalesce(F.col("_open"), F.lit(0)).cast("long")})
     return out.select(*df.columns, (F.col(batch) - 1).alias(batch))
+
+
+def first_shell(df: DataFrame, value: str, rel_tol: float, *, group: list[str] | None = None) -> DataFrame:
+    """Rows of the first shell of each group: sorted values up to the first one that differs
+    from the median of the values before it by more than ``max(1e-3, rel_tol * median)``.
+
+    In a sorted list the running median sits at known positions, so it is a lookup.
+    """
+    group = group or []
+    d = df.withColumn("_id", F.monotonically_increasing_id()) if "_id" not in df.columns else df
+    s = settle(ordered_scan(d, [value, "_id"], group=group, position="_pos"))
+    at = s.select(*group, F.col("_pos").alias("_p"), F.col(value).alias("_v"))
+    lo = at.select(*group, F.col("_p").alias("_lo"), F.col("_v").alias("_vlo"))
+    hi = at.select(*group, F.col("_p").alias("_hi"), F.col("_v").alias("_vhi"))
+    m = s.withColumn("_lo", F.floor((F.col("_pos") - 1) / 2)).withColumn("_hi", F.floor(F.col("_pos") / 2))
+    m = m.join(lo, [*group, "_lo"], "left").join(hi, [*group, "_hi"], "left")
+    med = (F.col("_vlo") + F.col("_vhi")) / 2.0
+    bad = (F.col("_pos") > 0) & (F.abs(F.col(value) - med) > F.greatest(F.lit(1e-3), rel_tol * med))
+    stop = m.where(bad).groupBy(*group).agg(F.min("_pos").alias("_stop"))
+    if group:
+        s = s.join(stop, group, "left")
+    else:
+        s = s.withColumn("_stop", stop.select("_stop").scalar())
+    return s.where(F.col("_stop").isNull() | (F.col("_pos") < F.col("_stop"))).drop("_pos", "_stop", "_id")

@@ -12,7 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sievelark.functions.exprs import (col, covalent_radius, distance3, safe_ratio, short_sha1, sym3_eigenvalues, symbol_of, wrap_delta,
                                        wrapped_distance3)
@@ -231,7 +231,7 @@ def shape_class(moments: DataFrame) -> DataFrame:
     return d.withColumn("shape", shape).withColumn("planar_like", planar).drop("_hi", "_mid", "_lo")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def principal_frame(sxx: pd.Series, syy: pd.Series, szz: pd.Series, sxy: pd.Series, sxz: pd.Series, syz: pd.Series) -> pd.Series:
     """Axes of 3x3 scatter matrices as nine numbers, longest extent first, first large component positive."""
     m = np.stack([np.stack([sxx, sxy, sxz], 1), np.stack([sxy, syy, syz], 1), np.stack([sxz, syz, szz], 1)], 1)
@@ -343,7 +343,7 @@ def class_rmsd(a: np.ndarray, b: np.ndarray, classes: list[int], exact: int = 25
     return best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def symmetric_rmsd(a: pd.Series, b: pd.Series, classes: pd.Series) -> pd.Series:
     """Symmetry-aware RMSD of molecule rows (``array<array<double>>`` twice, class per atom)."""
     out = []
@@ -353,7 +353,7 @@ def symmetric_rmsd(a: pd.Series, b: pd.Series, classes: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def assigned_node_l2(a: pd.Series, b: pd.Series, classes: pd.Series, mean: pd.Series) -> pd.Series:
     """Sum or mean over atoms of descriptor distances after the best match inside atom classes."""
     out = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("selection", "clusters", "joins", "aggregates")
+MODULES = ("selection", "clusters", "joins", "aggregates", "scans", "texts", "graphs", "structures")
 
 
 def load() -> None:
