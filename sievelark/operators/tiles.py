@@ -47,14 +47,16 @@ class Grid:
     rows: int = 0
 
     def cell(self, x: Column) -> Column:
-        return F.array(*[F.floor(x[a] / self.width).cast("long") for a in self.axes])
+        return F.array(*[F.coalesce(F.floor(F.get(x, F.lit(a)) / self.width).cast("long"), F.lit(0)) for a in self.axes])
 
     def neighbours(self, cell: Column) -> Column:
+        def grow(out: Column, at: Column) -> Column:
+            around = F.array(*[at + F.lit(o) for o in (-1, 0, 1)])
+            return F.flatten(F.transform(out, lambda p: F.transform(around, lambda v: F.concat(p, F.array(v)))))
+
         out = F.array(F.array().cast("array<bigint>"))
         for k in range(len(self.axes)):
-            out = F.flatten(F.transform(
-                out, lambda p, k=k: F.transform(F.array(*[F.lit(o).cast("long") for o in (-1, 0, 1)]),
-                                                lambda o: F.concat(p, F.array(cell[k] + o)))))
+            out = grow(out, cell[k])
         return out
 
 
