@@ -59,7 +59,8 @@ def relax(frames: DataFrame, backend: str | Callable = "identity") -> DataFrame:
                     err.append(f"{type(x).__name__}: {x}")
             yield b.assign(positions=pos, energy=en, relax_error=err)
 
-    return frames.mapInPandas(run, schema)
+    # pandas hands undefined numbers over as NULL; an unknown energy is NaN here
+    return frames.mapInPandas(run, schema).withColumn("energy", F.coalesce("energy", F.lit(float("nan"))))
 
 
 def generate(seeds: DataFrame, generator: str | Callable, n_runs: int, *, seed: int = 0, mode: str = "increment") -> DataFrame:

@@ -57,17 +57,20 @@ def _stars(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, group: str | None = None, bound: int = EDGES_PER_GROUP) -> DataFrame:
     """``id, component`` (lowest id of the component) for every vertex on an edge ``src, dst``.
 
-    Edges of one group never touch another group. A group with few edges is solved in one
-    task; larger ones by star contraction over the whole cluster.
+    Edges of one group never touch another group. Groups with few edges are solved many to
+    a task; larger ones by star contraction over the whole cluster.
     """
     if group is None:
         return _stars(edges.select("src", "dst"))
     edges = settle(edges.select(F.col(group).alias("_g"), "src", "dst"))
-    big = settle(edges.groupBy("_g").count().where(F.col("count") > bound).select("_g"))
+    sizes = settle(edges.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    big = settle(sizes.where(F.col("_n") > bound).select("_g"))
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * -(-total // EDGES_PER_GROUP))
+    solve = lambda e: e.groupBy(F.pmod(F.xxhash64("_g"), F.lit(tasks)).alias("_k")).applyInPandas(_union, "id long, component long")
     if big.isEmpty():
-        return edges.groupBy("_g").applyInPandas(_union, "id long, component long")
-    few = edges.join(big, "_g", "left_anti").groupBy("_g").applyInPandas(_union, "id long, component long")
-    return few.unionByName(_stars(edges.join(big, "_g", "left_semi").select("src", "dst")))
+        return solve(edges)
+    return solve(edges.join(big, "_g", "left_anti")).unionByName(_stars(edges.join(big, "_g", "left_semi").select("src", "dst")))
 
 
 def with_components(vertices: DataFrame, id: str, edges: DataFrame, group: str | None = None, **kw) -> DataFrame:

@@ -20,7 +20,7 @@ EDGES_PER_GROUP = 200_000
 
 
 def _later_dropped(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential rule on one group's conflict edges (a bounded number of them)."""
+    """Sequential rule on the conflict edges of some whole groups (a bounded number of edges)."""
     dropped: set[int] = set()
     pdf = pdf.sort_values(["_ea", "_a"], kind="stable")
     for a, b in zip(pdf["_a"].tolist(), pdf["_b"].tolist()):
@@ -30,12 +30,19 @@ def _later_dropped(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def dropped_by_edges(edges: DataFrame, bound: int = EDGES_PER_GROUP) -> DataFrame:
-    """Ids dropped by the greedy rule, given conflict edges ``_a`` (earlier) to ``_b``."""
+    """Ids dropped by the greedy rule, given conflict edges ``_a`` (earlier) to ``_b``.
+
+    Groups of few edges are solved many to a task; larger groups in rounds over the cluster.
+    """
     edges = settle(edges)
-    big = settle(edges.groupBy("_g").count().where(F.col("count") > bound).select("_g"))
+    sizes = settle(edges.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    big = settle(sizes.where(F.col("_n") > bound).select("_g"))
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * -(-total // EDGES_PER_GROUP))
+    solve = lambda e: e.groupBy(F.pmod(F.xxhash64("_g"), F.lit(tasks)).alias("_k")).applyInPandas(_later_dropped, "_id long")
     if big.isEmpty():
-        return edges.groupBy("_g").applyInPandas(_later_dropped, "_id long")
-    out = edges.join(big, "_g", "left_anti").groupBy("_g").applyInPandas(_later_dropped, "_id long")
+        return solve(edges)
+    out = solve(edges.join(big, "_g", "left_anti"))
     live = settle(edges.join(big, "_g", "left_semi").select("_a", "_b"))
     while not live.isEmpty():
         ends = live.select(F.col("_a").alias("_id"), F.lit(0).alias("in_")).unionByName(

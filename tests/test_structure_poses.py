@@ -22,11 +22,11 @@ def atoms(spark, *frames):
 
 
 def test_contacts_ignore_hydrogen_beside_heavy_atoms(spark):
-    a = atoms(spark, (1, ["Pt", "O", "H"], [[0, 0, 0], [0, 0, 2.6], [0, 0, 1.6]]), (1, ["Pt", "H"], [[0, 0, 0], [0, 0, 1.6]]))
+    a = atoms(spark, (1, ["Pt", "O", "H"], [[0, 0, 0], [0, 0, 2.6], [0, 0, 1.6]]), (1, ["Pt", "H"], [[0, 0, 0], [0, 0, 1.6]]), (1, ["Pt", "O", "H"], [[0, 0, 0], [0, 0, 4.0], [0, 0, 3.1]]))
     got = {(r["frame"], r["ads"], r["surf"]) for r in S.binding_pairs(a, 1.15).collect()}
     assert got == {(1, 1, 0)}
     reason = {r["frame"]: r["reason"] for r in S.classify_frames(a, a, tau=1.15, slack=0.0).collect()}
-    assert reason == {0: "desorption", 1: None}
+    assert reason == {0: None, 1: None, 2: "desorption"}
 
 
 def test_slab_displacement_check_can_be_disabled(spark):
