@@ -70,8 +70,12 @@ def _prefix_cut(rows: DataFrame, grid, block: int) -> DataFrame | None:
     return nth.groupBy("_g").agg(F.min("_o").alias("_cut"))
 
 
-def keep_first(rows: DataFrame, threshold: float, *, strict: bool = True, gate=None, block: int = BLOCK) -> DataFrame:
-    """Kept rows (``_g, _id, _e, _x``) of the greedy rule over prepared rows."""
+def keep_first(rows: DataFrame, threshold: float, *, strict: bool = True, gate=None, block: int = BLOCK,
+               dims: int | None = None, extra=None) -> DataFrame:
+    """Kept rows (``_g, _id, _e, _x``) of the greedy rule over prepared rows.
+
+    ``dims`` and ``extra`` add a second condition on the trailing features of a pair.
+    """
     copies = ["_g", "_x"] if gate is None else ["_g", "_x", "_e"]
     rows = rows.where(~has_nan("_x"))
     if threshold > 0 or not strict:
@@ -79,7 +83,7 @@ def keep_first(rows: DataFrame, threshold: float, *, strict: bool = True, gate=N
         if gate is None:
             rows = first.select("_g", F.col("_m._id").alias("_id"), F.col("_m._e").alias("_e"), "_x")
     rows = settle(rows)
-    grid = plan_grid(rows, threshold, block)
+    grid = plan_grid(rows, threshold, block, dims=dims)
     kept = None
     while True:
         cut = _prefix_cut(rows, grid, block)
@@ -90,12 +94,12 @@ def keep_first(rows: DataFrame, threshold: float, *, strict: bool = True, gate=N
                 "_now", F.col("_cut").isNull() | (F.struct("_e", "_id") <= F.col("_cut"))))
             batch = marked.where("_now").select("_g", "_id", "_e", "_x")
             rest = marked.where("not _now").select("_g", "_id", "_e", "_x")
-        edges = near_pairs(batch, threshold, strict=strict, gate=gate, grid=grid, block=block)
+        edges = near_pairs(batch, threshold, strict=strict, gate=gate, grid=grid, block=block, dims=dims, extra=extra)
         new = settle(batch.join(dropped_by_edges(edges), "_id", "left_anti").select("_g", "_id", "_e", "_x"))
         kept = new if kept is None else kept.unionByName(new)
         if rest is None:
             return kept
-        hit = first_partner(rest, new, threshold, strict=strict, gate=gate, block=block).select("_id")
+        hit = first_partner(rest, new, threshold, strict=strict, gate=gate, block=block, dims=dims, extra=extra).select("_id")
         rows = settle(rest.join(hit, "_id", "left_anti"))
         if rows.isEmpty():
             return kept

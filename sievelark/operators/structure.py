@@ -32,37 +32,39 @@ def explode_frames(frames: DataFrame) -> DataFrame:
         F.col("a.positions")[2].alias("pz"))
 
 
-def _cells(df: DataFrame, sizes: DataFrame, width: float, spread: bool) -> DataFrame:
+def _cells(df: DataFrame, sizes: DataFrame, width: float, spread: bool, cell, pbc) -> DataFrame:
+    """Grid cell of each atom of a large frame; with ``spread`` one row per neighbouring cell.
+
+    Along a periodic axis the cells tile the period exactly and neighbours wrap around.
+    """
     j = df.join(sizes, "frame")
-    c = F.when(F.col("_n") > FEW, F.array(*[F.floor(F.col(p) / width).cast("long") for p in ("px", "py", "pz")])).otherwise(
-        F.array(*[F.lit(0).cast("long")] * 3))
-    j = j.withColumn("_c", c)
+    wrap = [max(1, int(cell[i] // width)) if cell is not None and pbc[i] else None for i in range(3)]
+    size = [cell[i] / n if n else width for i, n in enumerate(wrap)]
+
+    def index(v: Column, n: int | None) -> Column:
+        return v if n is None else F.pmod(v, F.lit(n).cast("long"))
+
+    at = [index(F.floor(F.col(p) / w).cast("long"), n) for p, w, n in zip(("px", "py", "pz"), size, wrap)]
+    zero = F.array(*[F.lit(0).cast("long")] * 3)
+    j = j.withColumn("_c", F.when(F.col("_n") > FEW, F.array(*at)).otherwise(zero))
     if not spread:
         return j.drop("_n")
-    near = F.array(*[F.array(*[F.lit(o).cast("long") for o in t]) for t in itertools.product((-1, 0, 1), repeat=3)])
-    here = F.array(F.array(*[F.lit(0).cast("long")] * 3))
-    off = F.explode(F.when(F.col("_n") > FEW, near).otherwise(here))
-    return j.withColumn("_o", off).withColumn("_c", F.zip_with("_c", "_o", lambda a, b: a + b)).drop("_o", "_n")
+    around = [F.array(*[index(F.col("_c")[i] + F.lit(o[i]), wrap[i]) for i in range(3)]) for o in itertools.product((-1, 0, 1), repeat=3)]
+    here = F.array(F.col("_c"))
+    return j.withColumn("_c", F.explode(F.when(F.col("_n") > FEW, F.array_distinct(F.array(*around))).otherwise(here))).drop("_n")
 
 
 def atoms_within(a: DataFrame, b: DataFrame, cutoff: Column | float, *, max_cutoff: float, cell=None,
                  pbc=(True, True, False), extra: Column | None = None) -> DataFrame:
     """Pairs (``a_*``, ``b_*``, ``d``) of the same frame with ``d <= cutoff``.
 
-    Large frames are blocked by a grid as wide as the largest cutoff. With a periodic
-    ``cell`` (orthogonal lengths) the frame is joined whole, because images wrap the grid.
+    Large frames are blocked by a grid at least as wide as the largest cutoff; a periodic
+    ``cell`` (orthogonal lengths) wraps both the distances and the grid.
     """
-    la = a.select([F.col(c).alias(f"a_{c}") if c != "frame" else F.col(c) for c in a.columns])
-    rb = b.select([F.col(c).alias(f"b_{c}") if c != "frame" else F.col(c) for c in b.columns])
-    if cell is None:
-        sizes = a.select("frame").unionByName(b.select("frame")).groupBy("frame").agg(F.count(F.lit(1)).alias("_n"))
-        left = _cells(a, sizes, max_cutoff, False)
-        right = _cells(b, sizes, max_cutoff, True)
-        la = left.select("frame", "_c", *[F.col(c).alias(f"a_{c}") for c in a.columns if c != "frame"])
-        rb = right.select("frame", "_c", *[F.col(c).alias(f"b_{c}") for c in b.columns if c != "frame"])
-        on = ["frame", "_c"]
-    else:
-        on = ["frame"]
+    sizes = a.select("frame").unionByName(b.select("frame")).groupBy("frame").agg(F.count(F.lit(1)).alias("_n"))
+    side = lambda df, name, spread: _cells(df, sizes, max_cutoff, spread, cell, pbc).select(
+        "frame", "_c", *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "frame"])
+    la, rb, on = side(a, "a", False), side(b, "b", True), ["frame", "_c"]
     d = wrapped_distance3(F.col("a_px") - F.col("b_px"), F.col("a_py") - F.col("b_py"), F.col("a_pz") - F.col("b_pz"), cell, pbc)
     j = la.join(rb, on)
     if extra is not None:

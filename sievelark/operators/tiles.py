@@ -60,9 +60,10 @@ class Grid:
         return out
 
 
-def plan_grid(df: DataFrame, threshold: float, block: int = BLOCK, n_axes: int = 2) -> Grid:
-    """Pick the widest feature axes and a cell width that is at least the threshold."""
+def plan_grid(df: DataFrame, threshold: float, block: int = BLOCK, n_axes: int = 2, dims: int | None = None) -> Grid:
+    """Pick the widest feature axes (among the first ``dims``) and a cell width of at least the threshold."""
     head, rows = df.select(F.max(F.size("_x")), F.count(F.lit(1))).first()
+    head = min(head or 0, dims) if dims else head
     if not head or head <= 0:
         return Grid([], 1.0, rows)
     aggs = []
@@ -123,16 +124,21 @@ class Tiles:
                 yield i, j
             s = e
 
-    def distance(self, i, j) -> np.ndarray:
-        return np.sqrt(((self.X[i] - self.Y[j]) ** 2).sum(1))
+    def distance(self, i, j, dims: int | None = None) -> np.ndarray:
+        return np.sqrt(((self.X[i, :dims] - self.Y[j, :dims]) ** 2).sum(1))
 
     def earlier(self, i, j) -> np.ndarray:
         """Left row before right row in (order, id)."""
         return (self.le[i] < self.re[j]) | ((self.le[i] == self.re[j]) & (self.lid[i] < self.rid[j]))
 
-    def close(self, threshold: float, strict: bool, gate):
-        """Pairs within the threshold as (i, j, d)."""
-        xx, yy = (self.X * self.X).sum(1), (self.Y * self.Y).sum(1)
+    def close(self, threshold: float, strict: bool, gate, dims: int | None = None, extra=None):
+        """Pairs within the threshold as (i, j, d).
+
+        With ``dims`` the distance covers the leading numbers only and ``extra`` judges the
+        pairs by the others.
+        """
+        A, B = self.X[:, :dims], self.Y[:, :dims]
+        xx, yy = (A * A).sum(1), (B * B).sum(1)
         out = []
         for i, j in self.steps():
             if len(i) > self.LARGE:
@@ -142,15 +148,17 @@ class Tiles:
                 for c in np.unique(self.cl[rows]):
                     a = rows[self.cl[rows] == c]
                     b = slice(self.r0[c], self.r0[c] + self.nr[c])
-                    prod = (self.X[a] @ self.Y[b].T).ravel()
+                    prod = (A[a] @ B[b].T).ravel()
                     approx[at:at + len(prod)] -= 2.0 * prod
                     at += len(prod)
                 m = approx <= threshold * threshold + 1e-9 * (xx[i] + yy[j]) + 1e-12
                 i, j = i[m], j[m]
-            d = self.distance(i, j)
+            d = self.distance(i, j, dims)
             ok = (d < threshold) if strict else (d <= threshold)
             if gate is not None:
                 ok &= gate(self.le[i], self.re[j])
+            if extra is not None:
+                ok[ok] = extra(self.X[i[ok], dims:], self.Y[j[ok], dims:])
             out.append((i[ok], j[ok], d[ok]))
         if not out:
             z = np.empty(0, dtype=int)
@@ -216,16 +224,16 @@ def tile_join(left: DataFrame, right: DataFrame, grid: Grid | None, kernel: Call
 
 
 def near_pairs(df: DataFrame, threshold: float, *, strict=False, gate=None, grid: Grid | None = None,
-               block: int = BLOCK, forest: bool = False) -> DataFrame:
+               block: int = BLOCK, forest: bool = False, dims: int | None = None, extra=None) -> DataFrame:
     """Pairs of one table within the threshold, the earlier row (order, id) first.
 
     With ``forest=True`` each tile returns a spanning forest of its pairs: enough for
     connectivity, linear in the rows of the tile.
     """
-    grid = grid or plan_grid(df, threshold, block)
+    grid = grid or plan_grid(df, threshold, block, dims=dims)
 
     def kernel(t: Tiles):
-        i, j, d = t.close(threshold, strict, gate)
+        i, j, d = t.close(threshold, strict, gate, dims, extra)
         m = t.earlier(i, j)
         i, j, d = i[m], j[m], d[m]
         if forest:
@@ -248,12 +256,12 @@ def cross_pairs(left: DataFrame, right: DataFrame, threshold: float, *, strict=F
 
 
 def first_partner(left: DataFrame, right: DataFrame, threshold: float, *, strict=False, gate=None,
-                  block: int = BLOCK) -> DataFrame:
+                  block: int = BLOCK, dims: int | None = None, extra=None) -> DataFrame:
     """For each left row its earliest right row within the threshold: ``_id, _rep, _d``."""
-    grid = plan_grid(right, threshold, block)
+    grid = plan_grid(right, threshold, block, dims=dims)
 
     def kernel(t: Tiles):
-        i, j, d = t.close(threshold, strict, gate)
+        i, j, d = t.close(threshold, strict, gate, dims, extra)
         order = np.lexsort((t.rid[j], t.re[j], i))
         i, j, d = i[order], j[order], d[order]
         head = np.r_[True, i[1:] != i[:-1]] if len(i) else np.empty(0, dtype=bool)

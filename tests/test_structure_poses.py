@@ -49,7 +49,10 @@ def test_grid_and_plain_joins_agree(spark, monkeypatch):
     a = atoms(spark, (40, ["Pt"] * 40 + ["O"] * 40, xyz))
     plain = {(r["ads"], r["surf"]) for r in S.binding_pairs(a).collect()}
     near = {(r["atom"], r["other"]) for r in S.nearest_atoms(a.where("is_ads"), a.where("not is_ads"), 4).collect()}
+    box = (9.5, 9.5, 30.0)
+    ring = {(r["ads"], r["surf"]) for r in S.binding_pairs(a, cell=box).collect()}
     monkeypatch.setattr(S, "FEW", 5)
+    assert {(r["ads"], r["surf"]) for r in S.binding_pairs(a, cell=box).collect()} == ring > plain
     assert {(r["ads"], r["surf"]) for r in S.binding_pairs(a).collect()} == plain and plain
     assert {(r["atom"], r["other"]) for r in S.nearest_atoms(a.where("is_ads"), a.where("not is_ads"), 4, start=1.0).collect()} == near
 
