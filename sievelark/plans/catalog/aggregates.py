@@ -93,7 +93,7 @@ def _identities(spark, base):
 
 
 @query("inflation_audit", "WITH " + ID_SQL + """,
-p AS (SELECT c, geo, count(DISTINCT obs) AS o, count(*) AS n FROM r GROUP BY 1, 2), s AS (SELECT c, count_if(o > 1) AS sg, coalesce(sum(n) FILTER (o > 1), 0) AS sr FROM p GROUP BY 1)
+p AS (SELECT c, geo, count(DISTINCT obs) AS o, count(*) AS n FROM r GROUP BY 1, 2), s AS (SELECT c, count(*) FILTER (WHERE o > 1) AS sg, coalesce(sum(n) FILTER (o > 1), 0) AS sr FROM p GROUP BY 1)
 SELECT c, count(*) AS n_rows, count(DISTINCT obs) AS n_observed, count(DISTINCT leg) AS n_legacy, count(DISTINCT geo) AS n_geometry, any_value(sg) AS split_groups, any_value(sr)::BIGINT AS split_rows,
  count(DISTINCT obs) - count(DISTINCT geo) AS inflation_observed, count(DISTINCT leg) - count(DISTINCT geo) AS inflation_legacy FROM r JOIN s USING (c) GROUP BY c""")
 def _(spark, base):
@@ -102,14 +102,14 @@ def _(spark, base):
 
 @query("merge_audit", "WITH " + ID_SQL + """,
 p AS (SELECT c, mrg, count(DISTINCT obs) AS o, count(DISTINCT geo) AS g FROM r GROUP BY 1, 2), n AS (SELECT c, count(DISTINCT geo) AS n_geometry FROM r GROUP BY 1)
-SELECT c, count(*) AS n_merged, count_if(g = 1 AND o > 1) AS redundant_resolved, count_if(g > 1) AS cross_merges, any_value(n_geometry) AS n_geometry, count(*) - any_value(n_geometry) AS delta FROM p JOIN n USING (c) GROUP BY c""")
+SELECT c, count(*) AS n_merged, count(*) FILTER (WHERE g = 1 AND o > 1) AS redundant_resolved, count(*) FILTER (WHERE g > 1) AS cross_merges, any_value(n_geometry) AS n_geometry, count(*) - any_value(n_geometry) AS delta FROM p JOIN n USING (c) GROUP BY c""")
 def _(spark, base):
     return R.merge_audit(_identities(spark, base), ["c"], "mrg", "obs", "geo")
 
 
 @query("pose_summary_grouping_sets", """
 WITH t AS (SELECT event_type AS site, CASE WHEN value < 10 THEN 'upright' WHEN value < 60 THEN 'tilted' ELSE 'flat' END AS bin, value, user_id FROM events)
-SELECT coalesce(site, 'all') AS site, count(*) AS n, count(DISTINCT user_id) AS n_primitives, count_if(bin = 'upright') AS upright, count_if(bin = 'tilted') AS tilted, count_if(bin = 'flat') AS flat,
+SELECT coalesce(site, 'all') AS site, count(*) AS n, count(DISTINCT user_id) AS n_primitives, count(*) FILTER (WHERE bin = 'upright') AS upright, count(*) FILTER (WHERE bin = 'tilted') AS tilted, count(*) FILTER (WHERE bin = 'flat') AS flat,
   round(min(value), 4) AS tilt_min, round(max(value), 4) AS tilt_max, round(avg(value), 4) AS tilt_mean FROM t GROUP BY GROUPING SETS ((site), ())""")
 def _(spark, base):
     t = table(spark, base, "events").select(F.col("event_type").alias("site"), tilt_bin("value").alias("bin"), "value", "user_id")
@@ -177,7 +177,7 @@ def _(spark, base):
 
 @query("sweep_summary", """
 SELECT CASE WHEN p_name LIKE 'small%' THEN 'small' WHEN p_name LIKE 'red%' THEN 'red' WHEN p_name LIKE 'blue%' THEN 'blue' ELSE 'other' END AS family, count(*) AS total,
-  count_if(p_size > 5) AS ok, count_if(p_size <= 5) AS failed, min(p_size) AS lo, round(median(p_size), 4) AS mid, max(p_size) AS hi FROM part GROUP BY 1""")
+  count(*) FILTER (WHERE p_size > 5) AS ok, count(*) FILTER (WHERE p_size <= 5) AS failed, min(p_size) AS lo, round(median(p_size), 4) AS mid, max(p_size) AS hi FROM part GROUP BY 1""")
 def _(spark, base):
     fam = F.coalesce(*[F.when(F.col("p_name").startswith(f), F.lit(f)) for f in ("small", "red", "blue")], F.lit("other"))
     return table(spark, base, "part").groupBy(fam.alias("family")).agg(
@@ -214,8 +214,8 @@ def _(spark, base):
         "strategy", F.col("b.win").alias("best_win"), F.col("b.thr").alias("best_thr"), "best_score", "mean_score")
 
 
-CASE_SQL = """c AS (SELECT c_custkey, count(o_orderkey) AS n_sites, count_if(o_orderstatus = 'F') AS n_ref, count_if(o_orderstatus = 'O') AS n_ours,
-  CASE WHEN count_if(o_orderstatus = 'F') > 0 THEN least(count_if(o_orderstatus = 'O'), count_if(o_orderstatus = 'F')) / count_if(o_orderstatus = 'F') END AS recall
+CASE_SQL = """c AS (SELECT c_custkey, count(o_orderkey) AS n_sites, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_ref, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_ours,
+  CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'F') > 0 THEN least(count(*) FILTER (WHERE o_orderstatus = 'O'), count(*) FILTER (WHERE o_orderstatus = 'F')) / count(*) FILTER (WHERE o_orderstatus = 'F') END AS recall
   FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1),
 k AS (SELECT *, CASE WHEN n_sites <= 0 THEN 'manual_reference_missing' WHEN n_ref = 0 AND n_ours = 0 THEN 'both_zero' WHEN n_ref = 0 THEN 'manual_zero_ours_positive'
   WHEN n_ours = 0 THEN 'manual_positive_ours_zero' WHEN abs(recall - 1.0) <= 1e-12 THEN 'full_recall' ELSE 'partial_recall' END AS status FROM c)"""
@@ -235,8 +235,8 @@ def _(spark, base):
 
 
 @query("recall_audit", "WITH " + CASE_SQL + """
-SELECT count(*) AS n_cases, count(recall) AS n_defined, round(avg(recall), 6) AS mean_recall, count_if(status = 'full_recall') AS n_full, count_if(n_ref = 0) AS n_empty_reference,
-  count_if(n_ref = n_ours) AS n_agree, count_if(n_ours > 0) AS n_ours_positive, sum(n_ref)::BIGINT AS total_ref, sum(n_ours)::BIGINT AS total_ours, count_if(n_ours > 2 * n_ref) AS n_suspicious FROM k""")
+SELECT count(*) AS n_cases, count(recall) AS n_defined, round(avg(recall), 6) AS mean_recall, count(*) FILTER (WHERE status = 'full_recall') AS n_full, count(*) FILTER (WHERE n_ref = 0) AS n_empty_reference,
+  count(*) FILTER (WHERE n_ref = n_ours) AS n_agree, count(*) FILTER (WHERE n_ours > 0) AS n_ours_positive, sum(n_ref)::BIGINT AS total_ref, sum(n_ours)::BIGINT AS total_ours, count(*) FILTER (WHERE n_ours > 2 * n_ref) AS n_suspicious FROM k""")
 def _(spark, base):
     return _cases(spark, base).agg(
         F.count(F.lit(1)).alias("n_cases"), F.count("recall").alias("n_defined"), F.round(F.avg("recall"), 6).alias("mean_recall"),
@@ -247,7 +247,7 @@ def _(spark, base):
 
 @query("match_ratio_by_budget", """
 WITH b AS (SELECT d.doc_id % 8 AS k, CASE WHEN l.doc_id IS NULL THEN NULL ELSE l.quality = 1 END AS m FROM documents d LEFT JOIN labels l USING (doc_id))
-SELECT k, count_if(m) || '/' || count(m) AS matches, round(count_if(m) / count(m), 6) AS rate FROM b GROUP BY 1""")
+SELECT k, count(*) FILTER (WHERE m) || '/' || count(m) AS matches, round(count(*) FILTER (WHERE m) / count(m), 6) AS rate FROM b GROUP BY 1""")
 def _(spark, base):
     l = table(spark, base, "labels").select("doc_id", (F.col("quality") == 1).alias("m"))
     b = table(spark, base, "documents").select("doc_id", (F.col("doc_id") % 8).alias("k")).join(l, "doc_id", "left")
@@ -256,7 +256,7 @@ def _(spark, base):
 
 
 @query("placement_status", """
-WITH a AS (SELECT c_custkey, c_mktsegment, count(o_orderkey) AS n_p, count_if(o_orderstatus = 'O') AS n_q, min(o_totalprice) AS d FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2),
+WITH a AS (SELECT c_custkey, c_mktsegment, count(o_orderkey) AS n_p, count(*) FILTER (WHERE o_orderstatus = 'O') AS n_q, min(o_totalprice) AS d FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2),
 s AS (SELECT *, CASE WHEN n_p <= 0 THEN 'zero_primitive' WHEN n_q <= 0 THEN 'zero_pose' WHEN d < 20000 THEN 'soft_clash' ELSE 'ok' END AS status FROM a)
 SELECT c_mktsegment, status, count(*) AS n, round(min(d), 2) AS min_value, round(count(*) / sum(count(*)) OVER (PARTITION BY c_mktsegment), 6) AS share FROM s GROUP BY 1, 2""")
 def _(spark, base):
@@ -269,8 +269,8 @@ def _(spark, base):
 
 
 @query("library_comparison", """
-WITH a AS (SELECT l_partkey, count_if(l_returnflag = 'A') AS ours, count_if(l_returnflag = 'R') AS other FROM lineitem GROUP BY 1)
-SELECT sum(ours)::BIGINT AS total_ours, sum(other)::BIGINT AS total_other, count_if(ours < other) AS fewer, count_if(ours = other) AS same, count_if(ours > other) AS more FROM a""")
+WITH a AS (SELECT l_partkey, count(*) FILTER (WHERE l_returnflag = 'A') AS ours, count(*) FILTER (WHERE l_returnflag = 'R') AS other FROM lineitem GROUP BY 1)
+SELECT sum(ours)::BIGINT AS total_ours, sum(other)::BIGINT AS total_other, count(*) FILTER (WHERE ours < other) AS fewer, count(*) FILTER (WHERE ours = other) AS same, count(*) FILTER (WHERE ours > other) AS more FROM a""")
 def _(spark, base):
     n = lambda f: F.count_if(F.col("l_returnflag") == f)
     a = table(spark, base, "lineitem").groupBy("l_partkey").agg(n("A").alias("ours"), n("R").alias("other"))
@@ -386,7 +386,7 @@ def _(spark, base):
 
 
 @query("reaudit_levels", """
-SELECT l_suppkey, count(DISTINCT round(l_tax, 6)) AS n_levels, list_sort(list(DISTINCT round(l_tax, 6)), 'DESC') AS levels, count_if(l_returnflag = 'A') AS n_a, count_if(l_returnflag = 'N') AS n_n FROM lineitem GROUP BY 1""")
+SELECT l_suppkey, count(DISTINCT round(l_tax, 6)) AS n_levels, list_sort(list(DISTINCT round(l_tax, 6)), 'DESC') AS levels, count(*) FILTER (WHERE l_returnflag = 'A') AS n_a, count(*) FILTER (WHERE l_returnflag = 'N') AS n_n FROM lineitem GROUP BY 1""")
 def _(spark, base):
     z = F.round("l_tax", 6)
     return table(spark, base, "lineitem").groupBy("l_suppkey").agg(

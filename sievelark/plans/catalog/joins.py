@@ -110,7 +110,7 @@ def _(spark, base):
 @query("schedule_comparison", """
 WITH g AS (SELECT o_custkey, o_orderstatus, count(*) AS n, avg(o_totalprice) AS p FROM orders GROUP BY 1, 2),
 j AS (SELECT a.n AS n1, b.n AS n2, a.p AS p1, b.p AS p2 FROM g a JOIN g b USING (o_custkey) WHERE a.o_orderstatus = 'F' AND b.o_orderstatus = 'O')
-SELECT count(*) AS n_cases, count_if(n1 = n2) AS n_equal, round(avg(n1), 6) AS mean_base, round(avg(n2), 6) AS mean_other, round(avg(p2 - p1), 2) AS mean_delta FROM j""")
+SELECT count(*) AS n_cases, count(*) FILTER (WHERE n1 = n2) AS n_equal, round(avg(n1), 6) AS mean_base, round(avg(n2), 6) AS mean_other, round(avg(p2 - p1), 2) AS mean_delta FROM j""")
 def _(spark, base):
     g = table(spark, base, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.avg("o_totalprice").alias("p"))
     a = g.where("o_orderstatus = 'F'").select("o_custkey", F.col("n").alias("n1"), F.col("p").alias("p1"))
@@ -183,7 +183,7 @@ def _(spark, base):
 @query("set_compare", """
 WITH a AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'N'),
 j AS (SELECT coalesce(a.l_suppkey, b.l_suppkey) AS l_suppkey, a.l_partkey AS pa, b.l_partkey AS pb FROM a FULL JOIN b ON a.l_suppkey = b.l_suppkey AND a.l_partkey = b.l_partkey)
-SELECT l_suppkey, count(pa) AS n_a, count(pb) AS n_b, count_if(pa IS NOT NULL AND pb IS NOT NULL) AS n_both, count_if(pb IS NULL) AS only_a, count_if(pa IS NULL) AS only_b FROM j GROUP BY 1""")
+SELECT l_suppkey, count(pa) AS n_a, count(pb) AS n_b, count(*) FILTER (WHERE pa IS NOT NULL AND pb IS NOT NULL) AS n_both, count(*) FILTER (WHERE pb IS NULL) AS only_a, count(*) FILTER (WHERE pa IS NULL) AS only_b FROM j GROUP BY 1""")
 def _(spark, base):
     l = table(spark, base, "lineitem").select("l_suppkey", "l_partkey", "l_returnflag")
     return set_compare(l.where("l_returnflag = 'A'"), l.where("l_returnflag = 'N'"), ["l_suppkey"], "l_partkey")

@@ -24,7 +24,7 @@ def _(spark, base):
 
 @query("effective_layers", "WITH " + GAP_SQL + """,
 c AS (SELECT event_type, level, count(*) AS n FROM e GROUP BY 1, 2), m AS (SELECT event_type, greatest(2.0, 0.3 * median(n)) AS cut, count(*) AS total FROM c GROUP BY 1)
-SELECT event_type, CASE WHEN any_value(total) < 2 THEN NULL WHEN count_if(n >= cut) >= 2 THEN count_if(n >= cut) ELSE any_value(total) END AS layers FROM c JOIN m USING (event_type) GROUP BY 1""")
+SELECT event_type, CASE WHEN any_value(total) < 2 THEN NULL WHEN count(*) FILTER (WHERE n >= cut) >= 2 THEN count(*) FILTER (WHERE n >= cut) ELSE any_value(total) END AS layers FROM c JOIN m USING (event_type) GROUP BY 1""")
 def _(spark, base):
     g = gap_levels(table(spark, base, "events").select("event_type", "value"), "value", 2.0, group=["event_type"])
     c = g.groupBy("event_type", "level").agg(F.count(F.lit(1)).alias("n"))
@@ -80,7 +80,7 @@ def _(spark, base):
 
 @query("cumulative_rounds", """
 WITH r AS (SELECT user_id, event_id // 1000 AS round, count(*) AS n, min(event_id) AS first_id FROM events GROUP BY 1, 2)
-SELECT user_id, round, n, sum(n) OVER w AS n_total, min(first_id) OVER w AS lowest_id FROM r WINDOW w AS (PARTITION BY user_id ORDER BY round)""")
+SELECT user_id, round, n, (sum(n) OVER w)::BIGINT AS n_total, min(first_id) OVER w AS lowest_id FROM r WINDOW w AS (PARTITION BY user_id ORDER BY round)""")
 def _(spark, base):
     r = table(spark, base, "events").groupBy("user_id", F.floor(F.col("event_id") / 1000).alias("round")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
     from pyspark.sql import Window
@@ -92,7 +92,7 @@ def _(spark, base):
 @query("stable_rounds", """
 WITH r AS (SELECT user_id, event_id // 1000 AS round, count(*) FILTER (event_type = 'error') <= 1 AS stable FROM events GROUP BY 1, 2),
 i AS (SELECT *, sum((NOT stable)::INT) OVER (PARTITION BY user_id ORDER BY round) AS isl FROM r)
-SELECT user_id, round, sum(stable::INT) OVER (PARTITION BY user_id, isl ORDER BY round) AS stable_rounds FROM i""")
+SELECT user_id, round, (sum(stable::INT) OVER (PARTITION BY user_id, isl ORDER BY round))::BIGINT AS stable_rounds FROM i""")
 def _(spark, base):
     e = table(spark, base, "events")
     r = e.groupBy("user_id", F.floor(F.col("event_id") / 1000).alias("round")).agg(F.count_if(F.col("event_type") == "error").alias("k"))
@@ -119,7 +119,7 @@ def _(spark, base):
 
 @query("requested_names", """
 WITH want AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS w FROM part WHERE p_size = 10)
-SELECT count_if(ok) AS n_known, count_if(NOT ok) AS n_unknown FROM (SELECT w, w IN (SELECT DISTINCT split_part(p_name, ' ', 1) FROM part WHERE p_size > 25) AS ok FROM want)""")
+SELECT count(*) FILTER (WHERE ok) AS n_known, count(*) FILTER (WHERE NOT ok) AS n_unknown FROM (SELECT w, w IN (SELECT DISTINCT split_part(p_name, ' ', 1) FROM part WHERE p_size > 25) AS ok FROM want)""")
 def _(spark, base):
     p = table(spark, base, "part").select(F.split("p_name", " ")[0].alias("w"), "p_size")
     want, known = p.where("p_size = 10").select("w").distinct(), p.where("p_size > 25").select("w").distinct().withColumn("_k", F.lit(1))

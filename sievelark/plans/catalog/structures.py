@@ -111,11 +111,11 @@ def _(spark, base):
 
 ANOMALY_SQL = f"""{ATOM_SQL}, {PAIR_SQL}, {BOND_SQL}, {MOVED_SQL},
 b0 AS (SELECT a.frame, a.atom AS i, b.atom AS j FROM rf a JOIN rf b ON a.frame = b.frame AND a.atom < b.atom AND a.is_ads AND b.is_ads WHERE {DIST} <= 1.2::DOUBLE * (a.r + b.r)),
-bc AS (SELECT coalesce(bond.frame, b0.frame) AS frame, count_if(bond.i IS NULL) AS removed, count_if(b0.i IS NULL) AS added FROM bond FULL JOIN b0 ON bond.frame = b0.frame AND bond.i = b0.i AND bond.j = b0.j GROUP BY 1),
+bc AS (SELECT coalesce(bond.frame, b0.frame) AS frame, count(*) FILTER (WHERE bond.i IS NULL) AS removed, count(*) FILTER (WHERE b0.i IS NULL) AS added FROM bond FULL JOIN b0 ON bond.frame = b0.frame AND bond.i = b0.i AND bond.j = b0.j GROUP BY 1),
 ds AS (SELECT a.frame, max({DIST}) AS disp FROM atm a JOIN rf b ON a.frame = b.frame AND a.atom = b.atom AND NOT a.is_ads GROUP BY 1),
 ra AS (SELECT a.frame, min({DIST} / (a.r + b.r)) AS ratio FROM atm a JOIN atm b ON a.frame = b.frame AND a.is_ads AND NOT b.is_ads GROUP BY 1),
 np AS (SELECT frame, count(*) AS n FROM pr GROUP BY 1),
-f AS (SELECT frame, count_if(NOT is_ads) AS slab_n, count(*) AS n_atoms, min(pz) FILTER (NOT is_ads) AS smin, min(pz) FILTER (is_ads) AS amin FROM atm GROUP BY 1),
+f AS (SELECT frame, count(*) FILTER (WHERE NOT is_ads) AS slab_n, count(*) AS n_atoms, min(pz) FILTER (NOT is_ads) AS smin, min(pz) FILTER (is_ads) AS amin FROM atm GROUP BY 1),
 k AS (SELECT f.frame, coalesce(n, 0) AS binding_pair_n, coalesce(removed, 0) AS bond_removed_n, coalesce(added, 0) AS bond_added_n, round(disp, 6) AS surface_max_disp,
  CASE WHEN slab_n <= 0 OR slab_n >= n_atoms THEN 'invalid_split' WHEN coalesce(n, 0) < 1 AND (ratio IS NULL OR ratio > 1.15::DOUBLE + 0.25::DOUBLE) THEN 'desorption' WHEN disp > 0.9 THEN 'surface_reconstruction'
   WHEN coalesce(removed, 0) + coalesce(added, 0) > 0 THEN 'dissociation' WHEN amin < smin - 0.5::DOUBLE THEN 'burial' END AS reason
@@ -176,10 +176,10 @@ def _(spark, base):
 
 
 @query("centred_coordinates", f"""WITH {ATOM_SQL}, c AS (SELECT frame, sum((z + 0.37::DOUBLE) * px) / sum(z + 0.37::DOUBLE) AS cx, sum((z + 0.37::DOUBLE) * py) / sum(z + 0.37::DOUBLE) AS cy, sum((z + 0.37::DOUBLE) * pz) / sum(z + 0.37::DOUBLE) AS cz FROM atm GROUP BY 1)
-SELECT frame, atom, round(px - cx, 5) AS px, round(py - cy, 5) AS py, round(pz - cz, 5) AS pz FROM atm JOIN c USING (frame)""")
+SELECT frame, atom, round(px - cx + 1.37e-7, 5) AS px, round(py - cy + 1.37e-7, 5) AS py, round(pz - cz + 1.37e-7, 5) AS pz FROM atm JOIN c USING (frame)""")
 def _(spark, base):
     c = S.centred(order_atoms(spark, base), F.col("z") + 0.37)
-    return c.select("frame", "atom", *[F.round(p, 5).alias(p) for p in ("px", "py", "pz")])
+    return c.select("frame", "atom", *[F.round(F.col(p) + 1.37e-7, 5).alias(p) for p in ("px", "py", "pz")])
 
 
 @query("tilt_angles", f"""WITH {ATOM_SQL}, p AS (SELECT frame, count(*) AS n, arg_min(px, atom) AS x0, arg_max(px, atom) AS x1, arg_min(py, atom) AS y0, arg_max(py, atom) AS y1, arg_min(pz, atom) AS z0, arg_max(pz, atom) AS z1 FROM atm WHERE is_ads GROUP BY 1 HAVING count(*) = 2),

@@ -30,7 +30,7 @@ def _(spark, base):
 
 
 @query("ratio_text", """
-SELECT c_mktsegment, count_if(c_acctbal > 0) || '/' || count(*) || ' (' || printf('%.1f', round(100.0 * count_if(c_acctbal > 0) / count(*), 1)) || '%)' AS share FROM customer GROUP BY 1""")
+SELECT c_mktsegment, count(*) FILTER (WHERE c_acctbal > 0) || '/' || count(*) || ' (' || printf('%.1f', round(100.0 * count(*) FILTER (WHERE c_acctbal > 0) / count(*), 1)) || '%)' AS share FROM customer GROUP BY 1""")
 def _(spark, base):
     return table(spark, base, "customer").groupBy("c_mktsegment").agg(ratio_text(F.count_if(F.col("c_acctbal") > 0), F.count(F.lit(1))).alias("share"))
 
@@ -93,7 +93,7 @@ def _(spark, base):
 
 
 @query("flexible_budget", """
-WITH a AS (SELECT l_orderkey, count(*) AS n_heavy, count_if(l_discount >= 0.06) AS rot, count_if(l_tax >= 0.07) AS ring, count_if(l_returnflag = 'A') AS het, (max(l_quantity) - min(l_quantity)) / 5.0 AS span FROM lineitem GROUP BY 1),
+WITH a AS (SELECT l_orderkey, count(*) AS n_heavy, count(*) FILTER (WHERE l_discount >= 0.06) AS rot, count(*) FILTER (WHERE l_tax >= 0.07) AS ring, count(*) FILTER (WHERE l_returnflag = 'A') AS het, (max(l_quantity) - min(l_quantity)) / 5.0 AS span FROM lineitem GROUP BY 1),
 s AS (SELECT *, (0.35 * rot::DOUBLE + 0.80 * ring::DOUBLE + 0.18 * greatest(0, n_heavy - 4)::DOUBLE + 0.22 * het::DOUBLE + 0.25 * greatest(0.0, span - 3.0)::DOUBLE)::DOUBLE AS score FROM a),
 r AS (SELECT *, (n_heavy >= 7 AND score >= 2.0) OR score >= 3.2 OR rot >= 2 AS run FROM s)
 SELECT l_orderkey, round(score, 6) AS score, run, CASE WHEN run THEN round(least(40.0, greatest(8.0, 8.0 + 2.2 * score)), 6) ELSE 0.0 END AS time_ps,
