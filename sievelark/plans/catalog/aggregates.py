@@ -32,9 +32,10 @@ def _(spark, base):
 
 @query("group_stats", """
 SELECT o_custkey, count(*) AS n, round(min(o_totalprice), 4) AS value_min, round(max(o_totalprice), 4) AS value_max,
-  round(max(o_totalprice) - min(o_totalprice), 4) AS value_span, list_sort(list(DISTINCT o_orderstatus)) AS o_orderstatus_set FROM orders GROUP BY 1""")
+  round(max(o_totalprice) - min(o_totalprice), 4) AS value_span, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS o_orderstatus_set FROM orders GROUP BY 1""")
 def _(spark, base):
-    return rounded(R.group_stats(table(spark, base, "orders"), ["o_custkey"], "o_totalprice", distinct=["o_orderstatus"]))
+    g = R.group_stats(table(spark, base, "orders"), ["o_custkey"], "o_totalprice", distinct=["o_orderstatus"])
+    return rounded(g.withColumn("o_orderstatus_set", F.array_join("o_orderstatus_set", ",")))
 
 
 @query("argmin_representative", "SELECT p_type, first(p_partkey ORDER BY p_retailprice, p_partkey) AS rep, min(p_retailprice) AS price, count(*) AS n FROM part GROUP BY 1")
@@ -121,12 +122,12 @@ def _(spark, base):
 
 @query("result_summary", """
 SELECT p_brand, count(*) AS n, min(p_retailprice) AS lo, max(p_retailprice) AS hi, round(avg(p_retailprice), 4) AS mean, round(stddev_pop(p_retailprice), 4) AS std,
-  list(p_retailprice ORDER BY p_retailprice)[1:5] AS top5 FROM part GROUP BY 1""")
+  array_to_string(list_transform(list(p_retailprice ORDER BY p_retailprice)[1:5], lambda v: v::VARCHAR), ',') AS top5 FROM part GROUP BY 1""")
 def _(spark, base):
     from sievelark.operators.select import head
 
     p = table(spark, base, "part").select("p_brand", "p_partkey", "p_retailprice")
-    top = head(p, 5, [F.col("p_retailprice"), F.col("p_partkey")], ["p_brand"]).groupBy("p_brand").agg(F.array_sort(F.collect_list("p_retailprice")).alias("top5"))
+    top = head(p, 5, [F.col("p_retailprice"), F.col("p_partkey")], ["p_brand"]).groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_list("p_retailprice")).cast("array<string>"), ",").alias("top5"))
     s = p.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"), F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"),
                                  F.round(F.avg("p_retailprice"), 4).alias("mean"), F.round(F.stddev_pop("p_retailprice"), 4).alias("std"))
     return s.join(top, "p_brand")
@@ -386,11 +387,11 @@ def _(spark, base):
 
 
 @query("reaudit_levels", """
-SELECT l_suppkey, count(DISTINCT round(l_tax, 6)) AS n_levels, list_sort(list(DISTINCT round(l_tax, 6)), 'DESC') AS levels, count(*) FILTER (WHERE l_returnflag = 'A') AS n_a, count(*) FILTER (WHERE l_returnflag = 'N') AS n_n FROM lineitem GROUP BY 1""")
+SELECT l_suppkey, count(DISTINCT round(l_tax, 6)) AS n_levels, array_to_string(list_transform(list_sort(list(DISTINCT round(l_tax, 6)), 'DESC'), lambda v: v::VARCHAR), ',') AS levels, count(*) FILTER (WHERE l_returnflag = 'A') AS n_a, count(*) FILTER (WHERE l_returnflag = 'N') AS n_n FROM lineitem GROUP BY 1""")
 def _(spark, base):
     z = F.round("l_tax", 6)
     return table(spark, base, "lineitem").groupBy("l_suppkey").agg(
-        F.countDistinct(z).alias("n_levels"), F.sort_array(F.collect_set(z), False).alias("levels"), F.count_if(F.col("l_returnflag") == "A").alias("n_a"), F.count_if(F.col("l_returnflag") == "N").alias("n_n"))
+        F.countDistinct(z).alias("n_levels"), F.array_join(F.sort_array(F.collect_set(z), False).cast("array<string>"), ",").alias("levels"), F.count_if(F.col("l_returnflag") == "A").alias("n_a"), F.count_if(F.col("l_returnflag") == "N").alias("n_n"))
 
 
 @query("adsorption_energy", """

@@ -118,9 +118,10 @@ def _(spark, base):
 
 
 @query("explicit_or_derived_set", """
-SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN [o_custkey % 5, o_custkey % 7] ELSE NULL END AS given, list_sort(list_distinct(CASE WHEN o_orderstatus = 'F' THEN [o_custkey % 5, o_custkey % 7] ELSE [o_orderkey % 3, o_orderkey % 4, o_orderkey % 3] END)) AS indices FROM orders""")
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN (o_custkey % 5) || ',' || (o_custkey % 7) ELSE NULL END AS given, array_to_string(list_sort(list_distinct(CASE WHEN o_orderstatus = 'F' THEN [o_custkey % 5, o_custkey % 7] ELSE [o_orderkey % 3, o_orderkey % 4, o_orderkey % 3] END)), ',') AS indices FROM orders""")
 def _(spark, base):
     e = F.when(F.col("o_orderstatus") == "F", F.array(F.col("o_custkey") % 5, F.col("o_custkey") % 7))
     d = F.array(F.col("o_orderkey") % 3, F.col("o_orderkey") % 4, F.col("o_orderkey") % 3)
     pick = F.when(F.size(F.coalesce(e, F.array().cast("array<bigint>"))) > 0, e).otherwise(d)
-    return table(spark, base, "orders").select("o_orderkey", e.alias("given"), F.array_sort(F.array_distinct(pick)).alias("indices"))
+    return table(spark, base, "orders").select(
+        "o_orderkey", F.array_join(e.cast("array<string>"), ",").alias("given"), F.array_join(F.array_sort(F.array_distinct(pick)).cast("array<string>"), ",").alias("indices"))
