@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +31,22 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
-def hash_words(tokens: Iterable[bytes]) -> np.ndarray:
-    """64-bit hashes of words; every distinct word is hashed once per call."""
-    tokens = list(tokens)
-    known = {w: xxhash.xxh3_64_intdigest(w) for w in set(tokens)}
-    return np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+class _Hashes(dict):
+    """Word -> 64-bit hash, kept for repeated words up to a bound."""
+
+    def __missing__(self, w: bytes) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        self[w] = h = xxhash.xxh3_64_intdigest(w)
+        return h
+
+
+_HASHES = _Hashes()
+
+
+def hash_words(tokens: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

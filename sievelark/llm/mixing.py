@@ -11,6 +11,8 @@ from sievelark.operators.scan import ordered_scan
 SEED = "mix-1"
 #: Fractions are cut by LEVELS rounds of 256 hash buckets each.
 LEVELS = 3
+#: Up to so many sources, their targets are broadcast.
+FEW_SOURCES = 50_000
 
 
 def targets(sizes: DataFrame, max_epochs: int = 3) -> DataFrame:
@@ -78,6 +80,8 @@ def mix(docs: DataFrame, *, id: str, size: str, source: str, weights: DataFrame,
     code = lambda p: sum((F.col(f"{p}{k}") * F.lit(256 ** (LEVELS - 1 - k)) for k in range(1, LEVELS)), F.col(f"{p}0") * F.lit(256 ** (LEVELS - 1)))
     edge = edge.select(F.col("_cs").alias("_es"), (code("_c") + last).alias("_below"))
     goal = goal.join(edge, F.col("source").eqNullSafe(F.col("_es")), "left").drop("_es")
+    if sums.count() <= FEW_SOURCES:  # else the join shuffles, and Spark splits a hot source
+        goal = F.broadcast(goal)
     out = d.join(goal, F.col("_src").eqNullSafe(F.col("source")), "left")
     extra = F.when(F.col("_rest") <= 0, 0).when(F.col("_below").isNull() | (code("_b") < F.col("_below")), 1).otherwise(0)
     return out.select(F.col("_id").alias(id), F.col("_size").alias("size"), F.col("_src").alias("source"), F.col("source_size"), F.col("target"),
