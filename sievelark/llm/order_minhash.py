@@ -29,18 +29,17 @@ def with_signature(df: DataFrame, text: str, out: str, k: int = K, bins_log2: in
     a, b, c, d, e, f, g = (f"_{out}_{x}" for x in "abcdefg")
     top = 64 - bins_log2
     df = df.withColumn(a, F.split(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\f\r", "     "), " "))
-    parts = ", ".join(f"get({a}, cast(i as int) + {j})" for j in range(k))
-    df = df.withColumn(b, F.expr(f"sort_array(transform(sequence(0L, greatest(cast(size({a}) as bigint) - {k}, 0L)), i -> (shiftleft(xxhash64({parts}), {POS_BITS}) | i)))"))
-    same = lambda x, y: f"shiftright({x}, {POS_BITS}) = shiftright({y}, {POS_BITS})"
-    before, after = f"coalesce({same('x', f'get({b}, i - 1)')}, false)", f"coalesce({same('x', f'get({b}, i + 1)')}, false)"
-    numbered = lambda x, n: f"((xxhash64(shiftright({x}, {POS_BITS}), {n}) & {~LOW}L) | ({x} & {LOW}L))"
-    df = df.withColumn(c, F.expr(f"filter({b}, (x, i) -> not ({before}) and not ({after}))"))
-    runs = lambda cond: f"filter(transform({b}, (x, i) -> if({cond}, i, null)), i -> i is not null)"
-    df = df.withColumn(d, F.expr(f"if(size({c}) = size({b}), array(), {runs(f'not ({before}) and {after}')})"))
-    df = df.withColumn(e, F.expr(f"if(size({c}) = size({b}), array(), {runs(f'{before} and not ({after})')})"))
-    single = f"transform({c}, x -> {numbered('x', '0')})"
-    repeated = f"flatten(transform({d}, (s, j) -> transform(slice({b}, s + 1, get({e}, j) - s + 1), (x, n) -> {numbered('x', 'n')})))"
-    df = df.withColumn(f, F.expr(f"sort_array(concat({single}, {repeated}))"))
+    parts = ", ".join(f"get({a}, i + {j})" for j in range(k))
+    # hash and position packed: sorting brings equal k-mers together, in text order
+    df = df.withColumn(b, F.expr(f"sort_array(transform(sequence(0, greatest(size({a}) - {k}, 0)), i -> (shiftleft(xxhash64({parts}), {POS_BITS}) | cast(i as bigint))))"))
+    same = lambda arr: f"coalesce(shiftright(get({arr}, i - 1), {POS_BITS}) = shiftright(x, {POS_BITS}), false)"
+    df = df.withColumn(c, F.expr(f"filter({b}, (x, i) -> not {same(b)})"))
+    # later occurrences only: the start of every run of equal k-mers numbers its members
+    df = df.withColumn(d, F.expr(f"if(size({c}) = size({b}), cast(array() as array<bigint>), filter({b}, (x, i) -> {same(b)}))"))
+    df = df.withColumn(e, F.expr(f"filter(transform({d}, (x, i) -> if({same(d)}, null, i)), i -> i is not null)"))
+    again = (f"flatten(transform({e}, (s, j) -> transform(slice({d}, s + 1, coalesce(get({e}, j + 1), size({d})) - s), "
+             f"(x, n) -> ((xxhash64(shiftright(x, {POS_BITS}), n + 1) & {~LOW}L) | (x & {LOW}L)))))")
+    df = df.withColumn(f, F.expr(f"if(size({d}) = 0, {c}, sort_array(concat({c}, sort_array({again}))))"))
     df = df.withColumn(g, F.expr(f"filter({f}, (x, i) -> coalesce(shiftright(get({f}, i - 2), {top}) <> shiftright(x, {top}), true))"))
     first = f"coalesce(shiftright(get({g}, i - 1), {top}) <> shiftright(x, {top}), true)"
     hx, hy = f"shiftright(x, {POS_BITS})", f"shiftright(get({g}, i + 1), {POS_BITS})"
@@ -69,16 +68,17 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     Rows that repeat id and text are one document and share their result. Texts move once to
     where the previous document's request is and heads move back; both joins use one shuffle.
     """
-    d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = d.select(F.concat_ws(":", F.col("doc_id").cast("string"), text_key(F.col("text"))).alias("k"), "doc_id", "text")
-    keys = d.select("k", "doc_id", F.length("text").cast("long").alias("n_chars")).distinct()
+    text = F.coalesce("text", F.lit(""))
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), text_key(text)).alias("k")
+    keys = docs.select(key, "doc_id", F.length(text).cast("long").alias("n_chars")).distinct()
+    d = docs.select(key, text.alias("text"))
     order = [F.col("doc_id").isNotNull(), F.col("doc_id"), F.col("k")]
     # ascending order: the next document in descending order is the previous row
     ring = store(ordered_scan(keys, order, position="_at", previous={"_next": "k"}), "ring")
     last = ring.agg(F.max_by("k", "_at")).first()[0]
-    ring = ring.select("k", "n_chars", F.coalesce("_next", F.lit(last)).alias("next_k"))
-    asked = ring.select(F.col("k").alias("_for"), F.col("next_k").alias("_at"), F.floor(F.col("n_chars") / 3).cast("int").alias("_m"))
-    heads = d.join(asked, F.col("k") == F.col("_at")).select("_for", F.expr("left(text, _m)").alias("_head")).dropDuplicates(["_for"])
+    ring = ring.select("k", "doc_id", "n_chars", F.coalesce("_next", F.lit(last)).alias("next_k"))
+    asked = ring.select(F.col("k").alias("_for"), "doc_id", F.col("next_k").alias("_at"), F.floor(F.col("n_chars") / 3).cast("int").alias("_m"))
+    heads = d.join(asked, F.col("k") == F.col("_at")).select("_for", "doc_id", F.expr("left(text, _m)").alias("_head")).dropDuplicates(["_for"])
     e = d.join(heads, F.col("k") == F.col("_for"))
     n = F.length("text")
     e = e.select("k", "doc_id", n.cast("long").alias("n_chars"), "text", F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 3) as int))"), F.col("_head")).alias("_edited"))
