@@ -1,4 +1,4 @@
 """Imports every operator module, so that its queries are registered."""
 
-from sievelark.llm import decontaminate, jaccard, line_dedup, mixing, order_minhash, quality, secrets, toxicity  # noqa: F401
+from sievelark.llm import decontaminate, jaccard, line_dedup, mixing, ngram_lm, order_minhash, quality, secrets, toxicity  # noqa: F401
 from sievelark.llm.registry import QUERIES, SQL  # noqa: F401
