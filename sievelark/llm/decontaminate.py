@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sievelark.llm.common import raw_texts, store, documents
+from sievelark.llm.common import documents, fresh, raw_texts, store
 from sievelark.llm.registry import query
 from sievelark.sources.tables import table
 
@@ -146,12 +146,14 @@ def _blocks(items: DataFrame) -> tuple[DataFrame, int]:
     return items.withColumn("_block", F.pmod(F.xxhash64("item"), F.lit(n))), n
 
 
-#: Columns added to documents: words, hit word spans (start, end), items found.
-MADE = T.StructType([T.StructField("_n", T.LongType()), T.StructField("_spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("_items", T.ArrayType(T.StringType()))])
+#: Kinds of the columns added to documents: words, hit word spans (start, end), items found.
+MADE = [("_n", T.LongType()), ("_spans", T.ArrayType(T.ArrayType(T.IntegerType()))), ("_items", T.ArrayType(T.StringType()))]
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """Add the columns ``MADE`` to ``docs``: words, hit word spans (start, end) and the items found.
+    """Append three columns (see ``MADE``) to ``docs``: words, hit word spans (start, end), items found.
+
+    Their names get underscores in front where ``docs`` has them already.
 
     ``items`` has ``item`` (text id) and ``text``. Training words stream through a suffix
     automaton of the items, which tracks the longest match ending at every word; a match of
@@ -169,7 +171,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
         names = [r["item"] for r in rows]
         sam = SuffixAutomaton(window).build([item_words(r["text"].encode()) for r in rows])
         shared = spark.sparkContext.broadcast(pickle.dumps((sam, names), protocol=pickle.HIGHEST_PROTOCOL))
-        kind = T.StructType(fields.fields + MADE.fields) if b == 0 else out.schema
+        kind = T.StructType(fields.fields + [T.StructField(fresh(n, docs.columns), t) for n, t in MADE]) if b == 0 else out.schema
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared, first=b == 0, columns=[f.name for f in kind.fields]) -> Iterator[pa.RecordBatch]:
             sam, names = pickle.loads(shared.value)
@@ -273,9 +275,10 @@ def _(spark, base):
 
 def digest(c: DataFrame) -> DataFrame:
     """Counts per document from spans; spans of several automata may overlap, so they are merged first."""
-    sorted_ = F.expr("array_sort(_spans)")
+    n, spans, items = c.columns[-3:]
+    sorted_ = F.array_sort(spans)
     hit = F.aggregate(sorted_, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("e")), lambda a, s: F.struct(
         (a["n"] + F.greatest(F.lit(0), s[1] - F.greatest(a["e"], s[0]))).alias("n"), F.greatest(a["e"], s[1]).alias("e")), lambda a: a["n"])
-    ids = F.array_sort(F.array_distinct("_items"))
-    return c.select("doc_id", F.col("_n").alias("n_words"), hit.cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+    ids = F.array_sort(F.array_distinct(items))
+    return c.select("doc_id", F.col(n).alias("n_words"), hit.cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
                     F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sievelark.llm.common import WORD, documents, raw_texts, store
+from sievelark.llm.common import WORD, documents, fresh, raw_texts, store
 from sievelark.llm.registry import query
 
 MIN_WORDS = 50
@@ -91,11 +91,13 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, stats: bool = F
     (non-blank lines, removed lines, removed words) are added.
     """
     cuts = repeated_windows(docs, min_words).groupBy("d", "t").agg(F.collect_list(F.struct("j", "n")).alias("_cuts"))
-    key = (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("t"))
-    joined = docs.join(cuts, key, "left").select(*[docs[c] for c in docs.columns], F.col("_cuts"))
+    key = docs["doc_id"].eqNullSafe(cuts["d"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == cuts["t"])
+    last = fresh("_cuts", docs.columns)
+    joined = docs.join(cuts, key, "left").select(*[docs[c] for c in docs.columns], cuts["_cuts"].alias(last))
     at = docs.columns.index("text")
-    schema = docs.schema
-    out = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema.fields)}, _lines long, _removed long, _words long"
+    made = ["_lines", "_removed", "_words"] if stats else []
+    names = docs.columns + made
+    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"{m} long" for m in made])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,10 +115,9 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, stats: bool = F
                 texts[r] = b"" if len(drop) == len(real) else b"\n".join(x for i, x in enumerate(lines) if i not in drop)
             cols = list(batch.columns)[:-1]
             cols[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(n), pa.array(gone), pa.array(words)], names=[f.name for f in schema.fields] + ["_lines", "_removed", "_words"])
+            yield pa.RecordBatch.from_arrays(cols + ([pa.array(n), pa.array(gone), pa.array(words)] if made else []), names=names)
 
-    made = joined.mapInArrow(cut, out)
-    return made if stats else made.drop("_lines", "_removed", "_words")
+    return joined.mapInArrow(cut, out)
 
 
 @query("op10_line_dedup", r"""
