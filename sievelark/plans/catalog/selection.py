@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from sievelark.operators.convergence import cut_picks, site_occupancy
 from sievelark.operators.fps import farthest_points, in_rounds
 from sievelark.operators.greedy import diversity_filter
-from sievelark.operators.select import (StageSelection, basin_window, dual_diagnostics, dual_flags, dual_threshold, energy_window,
-                                        relative_energy, stage_select, target_k)
+from sievelark.operators.select import (Farthest, GridStop, Rounds, basin_window, dual_diagnostics, dual_flags, dual_threshold, energy_window,
+                                        relative_energy, rule, stage_select, target_k)
 from sievelark.operators.stats import kmeans_pick_lowest, pca_fit, pooled_kmeans_pick, project
 from sievelark.plans.catalog.registry import query
 from sievelark.sources.tables import table, vectors
@@ -173,9 +173,7 @@ def _(spark, base):
 
 @query("stage_selection_grid_convergence")
 def _(spark, base):
-    cfg = StageSelection(enabled=True, strategy="iterative_fps", max_candidates=48, fps_round_size=4, grid_convergence=True,
-                         grid_convergence_pca_var=0.05, grid_convergence_grid_bins=4, grid_convergence_min_rounds=2, grid_convergence_patience=1,
-                         grid_convergence_min_coverage_gain=0.2, grid_convergence_min_novelty=0.6)
+    cfg = Farthest(48, rounds=Rounds(4, stop=GridStop(variance=0.05, bins=4, min_rounds=2, patience=1, min_gain=0.2, min_novelty=0.6)))
     return stage_select(vectors(spark, base), cfg, id="vec_id", feat="embedding").select("vec_id", "label")
 
 
@@ -183,7 +181,7 @@ def _(spark, base):
 s AS (SELECT k.vec_id, k.label, row_number() OVER (PARTITION BY k.label ORDER BY c.e, k.vec_id) AS rn FROM kept k JOIN c USING (vec_id))
 SELECT vec_id, label FROM s WHERE rn <= 5""")
 def _(spark, base):
-    cfg = StageSelection(enabled=True, strategy="molclus", max_candidates=5, energy_window=0.25, rmsd_threshold=1.3)
+    cfg = rule("molclus", keep=5, window=0.25, distance=1.3)
     return stage_select(scored_vectors(spark, base), cfg, id="vec_id", feat="embedding", energy="e", group=["label"]).select("vec_id", "label")
 
 

@@ -2,44 +2,31 @@
 
 from __future__ import annotations
 
-from copy import deepcopy
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
-from sievelark.operators.select import StageSelection
+from sievelark.operators.select import BinStop, Clusters, Farthest, GridStop, Rounds, Rule, Spread
 
 
 @dataclass
 class Schedule:
     name: str
-    before: StageSelection = field(default_factory=StageSelection)
-    after: StageSelection = field(default_factory=StageSelection)
+    before: Rule = None
+    after: Rule = None
     exhaustive: bool = False
     conformer_search: bool = False
     notes: str = ""
 
 
-def _fps(n: int, **kw) -> StageSelection:
-    return StageSelection(enabled=True, strategy="fps", max_candidates=n, **kw)
+# fixed values: windows, distances, sizes and stopping rules of the named schedules
+WINDOW = Spread(window=3.0, distance=0.05)
+GRID_ROUNDS = Farthest(24, rounds=Rounds(4, 12, GridStop(min_rounds=3, patience=2)))
+SITE_ROUNDS = Farthest(24, rounds=Rounds(4, 12, BinStop(min_rounds=2, patience=2)))
+LINKED, FUZZY = Clusters(window=3.0, distance=0.05), Clusters(window=3.0, distance=0.05, method="fuzzy")
 
-
-def _rounds(**kw) -> StageSelection:
-    return StageSelection(enabled=True, strategy="iterative_fps", max_candidates=24, fps_round_size=4, fps_rounds=12, **kw)
-
-
-WINDOW = StageSelection(enabled=True, strategy="energy_rmsd_window", energy_window=3.0, rmsd_threshold=0.05)
-
-PRESETS = {
-    "multistage_default": Schedule("multistage_default", _fps(24), WINDOW),
-    "multistage_iterative_fps_grid": Schedule("multistage_iterative_fps_grid", _rounds(
-        grid_convergence=True, grid_convergence_min_rounds=3, grid_convergence_patience=2), WINDOW),
-    "multistage_iterative_fps_site": Schedule("multistage_iterative_fps_site", _rounds(
-        occupancy_convergence=True, occupancy_patience=2, occupancy_min_rounds=2), WINDOW),
-    "no_selection": Schedule("no_selection"),
-    "fps_then_molclus": Schedule("fps_then_molclus", _fps(12), WINDOW),
-    "fps_then_hierarchical": Schedule("fps_then_hierarchical", _fps(12), StageSelection(
-        enabled=True, strategy="hierarchical", energy_window=3.0, cluster_threshold=0.05)),
-    "fps_then_fuzzy": Schedule("fps_then_fuzzy", _fps(12), StageSelection(enabled=True, strategy="fuzzy", energy_window=3.0, cluster_threshold=0.05)),
-}
+PRESETS = {s.name: s for s in (
+    Schedule("multistage_default", Farthest(24), WINDOW), Schedule("multistage_iterative_fps_grid", GRID_ROUNDS, WINDOW),
+    Schedule("multistage_iterative_fps_site", SITE_ROUNDS, WINDOW), Schedule("no_selection"), Schedule("fps_then_molclus", Farthest(12), WINDOW),
+    Schedule("fps_then_hierarchical", Farthest(12), LINKED), Schedule("fps_then_fuzzy", Farthest(12), FUZZY))}
 
 # fixed values: other names of the presets
 ALIASES = {
@@ -62,20 +49,18 @@ def make_schedule(name: str = "multistage_default", **overrides) -> Schedule:
     key = ALIASES.get(key, key)
     if key not in PRESETS:
         raise ValueError(f"unsupported schedule: {name}; available: {', '.join(PRESETS)}")
-    return replace(deepcopy(PRESETS[key]), **{k: deepcopy(v) for k, v in overrides.items() if v is not None})
+    return replace(PRESETS[key], **{k: v for k, v in overrides.items() if v is not None})
 
 
 def budget_schedule(k: int) -> Schedule:
     """The preset used in budget sweeps: ``k`` rows before relaxation, the window afterwards."""
-    return make_schedule("multistage_default", name=f"budget_{k}", before=_fps(k))
+    return make_schedule("multistage_default", name=f"budget_{k}", before=Farthest(k))
 
 
-PRE_STRATEGIES = {"none": StageSelection(), "fps": _fps(24), "iterative_fps_grid": PRESETS["multistage_iterative_fps_grid"].before,
-                  "iterative_fps_site": PRESETS["multistage_iterative_fps_site"].before}
-POST_STRATEGIES = {"none": StageSelection(), "window": WINDOW, "hierarchical": PRESETS["fps_then_hierarchical"].after,
-                   "fuzzy": PRESETS["fps_then_fuzzy"].after, "fps": _fps(12)}
+PRE_STRATEGIES: dict[str, Rule] = {"none": None, "fps": Farthest(24), "iterative_fps_grid": GRID_ROUNDS, "iterative_fps_site": SITE_ROUNDS}
+POST_STRATEGIES: dict[str, Rule] = {"none": None, "window": WINDOW, "hierarchical": LINKED, "fuzzy": FUZZY, "fps": Farthest(12)}
 
 
 def strategy_matrix() -> list[Schedule]:
     """Every combination of a selection before and one after relaxation."""
-    return [Schedule(f"{a}__{b}", deepcopy(x), deepcopy(y)) for a, x in PRE_STRATEGIES.items() for b, y in POST_STRATEGIES.items()]
+    return [Schedule(f"{a}__{b}", x, y) for a, x in PRE_STRATEGIES.items() for b, y in POST_STRATEGIES.items()]

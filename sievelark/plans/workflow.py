@@ -10,8 +10,8 @@ from sievelark.functions.exprs import as_double
 from sievelark.functions.plugins import pair_distances, relax
 from sievelark.operators import graph as G
 from sievelark.operators import structure as S
-from sievelark.operators.cluster import basins, merge_representatives, numbered_basins
-from sievelark.operators.select import StageSelection, basin_window, candidate_filter, stage_select, target_k
+from sievelark.operators.cluster import cluster_basins, merge_representatives, merged_basins, numbered_basins, with_clusters
+from sievelark.operators.select import Farthest, basin_window, candidate_filter, stage_select, target_k
 from sievelark.plans.presets import Schedule, make_schedule
 from sievelark.session import settle
 
@@ -55,17 +55,14 @@ def run_workflow(frames: DataFrame, *, schedule: str | Schedule = "multistage_de
     pairs = settle(S.binding_pairs(atoms))
     sig = S.absolute_signature(pairs).withColumnRenamed("frame", "frame_id")
     kept = settle(kept.join(sig, "frame_id", "left").withColumn("signature", F.coalesce("signature", F.lit("free"))))
-    per = settle(basins(kept, id="frame_id", signature="signature", energy="energy", feat="features", threshold=basin_threshold, method=method))
-    b = settle(numbered_basins(per))
-    from sievelark.operators.cluster import with_clusters
-
-    members = with_clusters(kept, id="frame_id", feat="features", threshold=basin_threshold, method=method, energy="energy", group=["signature"])
-    members = settle(members.join(b.select("cluster", "basin_id"), "cluster").select("basin_id", "frame_id"))
+    clustered = settle(with_clusters(kept, id="frame_id", feat="features", threshold=basin_threshold, method=method, energy="energy", group=["signature"]))
+    b = settle(numbered_basins(cluster_basins(clustered, id="frame_id", signature="signature", energy="energy")))
+    members = settle(clustered.select("cluster", "frame_id").join(b.select("cluster", "basin_id"), "cluster").select("basin_id", "frame_id"))
     if merge_threshold is not None:
         reps = b.join(kept.select(F.col("frame_id").alias("rep_id"), "features"), "rep_id")
-        m = merge_representatives(reps, members, id="basin_id", energy="energy", feat="features", threshold=merge_threshold, member_key="frame_id")
-        members = settle(m.groupBy("cluster", "frame_id").agg(F.min("basin_id").alias("basin_id")).select(F.col("cluster").alias("basin_id"), "frame_id"))
-        b = settle(b.join(members.select("basin_id").distinct(), "basin_id", "left_semi"))
+        merged = settle(merge_representatives(reps, members, id="basin_id", energy="energy", feat="features", threshold=merge_threshold, member_key="frame_id"))
+        b, members = merged_basins(b, merged)
+        b, members = settle(b), settle(members)
     nodes = node_table(atoms.join(b.select(F.col("rep_id").alias("frame")), "frame", "left_semi"), pairs)
     low = b.groupBy().agg(F.min("energy").alias("m")).select("m").scalar()
     nodes = b.join(nodes, b["rep_id"] == nodes["frame"], "left").withColumn("relative_energy", F.col("energy") - low).drop("frame")
@@ -121,7 +118,7 @@ def run_conformers(frames: DataFrame, *, profile: str | Profile = "manual", loos
     p = conformer_profile(profile, target) if isinstance(profile, str) else profile
     key = ["molecule"]
     f = settle(pair_distances(frames))
-    f = stage_select(f, StageSelection(enabled=True, strategy="fps", max_candidates=p.preselect_k), id="frame_id", feat="features", group=key)
+    f = stage_select(f, Farthest(p.preselect_k), id="frame_id", feat="features", group=key)
     for backend in (loose, refine):
         bare = f.drop(*[c for c in ("features", "relax_error") if c in f.columns])
         f = settle(pair_distances(relax(bare, backend)))

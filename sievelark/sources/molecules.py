@@ -62,18 +62,22 @@ def gaussian_molecule(text: str) -> dict:
 
 
 def connectivity(lines: list[str], n_atoms: int) -> list[dict]:
-    """Bonds from ``source (target order)*`` lines: 1-based input, first mention of a pair wins."""
+    """Bonds from ``source (target order)*`` lines: 1-based input, first mention of a pair wins.
+
+    A line with a source outside the molecule, a tail of odd length or a token that is no
+    number is left out whole; single targets outside the molecule are left out alone.
+    """
     seen: dict[tuple[int, int], float] = {}
     for line in lines:
-        t = line.split()
-        if not t or not t[0].isdigit():
+        head, *tail = line.split() or [""]
+        if not tail or len(tail) % 2:
+            continue
+        try:
+            i, ends = int(head) - 1, [(int(a) - 1, float(o)) for a, o in zip(tail[::2], tail[1::2])]
+        except ValueError:
             continue
-        for k in range(1, len(t) - 1, 2):
-            try:
-                i, j, order = int(t[0]) - 1, int(t[k]) - 1, float(t[k + 1])
-            except ValueError:
-                break
-            if i != j and 0 <= i < n_atoms and 0 <= j < n_atoms:
+        for j, order in ends if 0 <= i < n_atoms else ():
+            if i != j and 0 <= j < n_atoms:
                 seen.setdefault((min(i, j), max(i, j)), order)
     return [{"i": i, "j": j, "order": o} for (i, j), o in sorted(seen.items())]
 

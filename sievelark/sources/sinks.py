@@ -51,12 +51,15 @@ def write_rows(df: DataFrame, folder: str, name: str, title: str, limit: int = 1
 
 
 def markdown(df: DataFrame, path: str, title: str, limit: int = 100) -> None:
-    rows = flat_text(df).limit(limit).collect()
+    """A table of the first ``limit`` rows; a longer result says how many rows there are."""
+    rows = flat_text(df).limit(limit + 1).collect()
+    more = [] if len(rows) <= limit else ["", f"{limit} of {df.count()} rows"]
+    rows = rows[:limit]
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     lines += ["| " + " | ".join(r) + " |" for r in rows]
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
-        f.write("\n".join(lines) + "\n")
+        f.write("\n".join(lines + more) + "\n")
 
 
 def write_by_category(df: DataFrame, path: str, category: str) -> None:

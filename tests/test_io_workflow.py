@@ -1,9 +1,11 @@
 import os
+from dataclasses import FrozenInstanceError
 
 import pytest
 from pyspark.sql import functions as F
 
 from sievelark.functions.plugins import RELAXERS, generate, relax
+from sievelark.operators.select import GridStop
 from sievelark.plans.presets import make_schedule, preset_names, strategy_matrix
 from sievelark.plans.workflow import conformer_profile, run_conformers, run_workflow
 from sievelark.sources import molecules as M
@@ -23,6 +25,7 @@ def test_molecule_files(spark, tmp_path):
 
 
 def test_connectivity_rules():
+    assert M.connectivity(["1 2 1.5 3", "1 2 1.5 x 1.0", "1 2 1.5 3 y", "7 1 1.0", "x 1 1.0", "", "2"], 3) == []
     b = M.connectivity(["1 2 1.5 3 1.0", "2 1 2.0", "3 3 1.0 9 1.0"], 3)
     assert [(x["i"], x["j"], x["order"]) for x in b] == [(0, 1, 1.5), (0, 2, 1.0)]
 
@@ -123,9 +126,10 @@ def test_generator_seeds(spark):
 def test_presets():
     assert len(preset_names()) == 7 and make_schedule(" Default ").name == "multistage_default"
     s = make_schedule("adaptive_default")
-    assert s.before.fps_round_size == 4 and s.before.grid_convergence and s.after.rmsd_threshold == 0.05
-    s.before.max_candidates = 1
-    assert make_schedule("adaptive_default").before.max_candidates == 24
+    assert s.before.rounds.size == 4 and isinstance(s.before.rounds.stop, GridStop) and s.after.distance == 0.05
+    with pytest.raises(FrozenInstanceError):
+        s.before.keep = 1
+    assert make_schedule("adaptive_default").before.keep == 24
     assert len(strategy_matrix()) == 20
     with pytest.raises(ValueError):
         make_schedule("other")

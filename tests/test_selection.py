@@ -9,7 +9,7 @@ from sievelark.operators import greedy
 from sievelark.operators.components import _stars, components
 from sievelark.operators.fps import farthest_points
 from sievelark.operators.greedy import diversity_ids, first_fit
-from sievelark.operators.select import (StageSelection, basin_window, candidate_filter, dual_threshold, energy_window, stage_select, target_k)
+from sievelark.operators.select import (Clusters, Farthest, GridStop, Rounds, Spread, basin_window, candidate_filter, dual_threshold, energy_window, rule, stage_select, target_k)
 from sievelark.operators.stats import kmeans_pick_lowest, parity_metrics
 from sievelark.operators.tiles import Grid, Tiles, near_pairs, plan_grid, prepared
 
@@ -176,20 +176,20 @@ def test_stage_fixtures(spark):
         return [np.linalg.norm(P[i] - P[j]) for i in range(3) for j in range(i + 1, 3)]
 
     df = frame(spark, [pair(s) for s in (0, 0.02, 0.30, 0.32)], [0.0, 0.02, 0.30, 0.32])
-    win = StageSelection(enabled=True, strategy="energy_rmsd_window", energy_window=0.05, rmsd_threshold=0.05)
+    win = Spread(window=0.05, distance=0.05)
     assert ids(stage_select(df, win, id="id", feat="x", energy="e")) == [0]
-    assert stage_select(df, StageSelection(enabled=True, strategy="fps", max_candidates=2), id="id", feat="x").count() == 2
+    assert stage_select(df, Farthest(2), id="id", feat="x").count() == 2
     odd = df.withColumn("e", F.element_at(F.array(*[F.lit(v) for v in (0.1, 0.0, 0.4, 0.3)]), (F.col("id") + 1).cast("int")))
-    reps = stage_select(odd, StageSelection(enabled=True, strategy="hierarchical", cluster_threshold=0.05), id="id", feat="x", energy="e")
+    reps = stage_select(odd, Clusters(distance=0.05), id="id", feat="x", energy="e")
     assert ids(reps) == [1, 3]
     with pytest.raises(ValueError):
-        stage_select(df, StageSelection(enabled=True, strategy="other"), id="id", feat="x")
+        rule("other")
+    assert rule("disabled") is None and stage_select(df, rule("off"), id="id", feat="x").count() == 4
 
 
 def test_grid_convergence_stops_early(spark):
     corners = [[0, 0], [0, 1], [1, 0], [1, 1]] * 8
-    cfg = StageSelection(enabled=True, strategy="iterative_fps", max_candidates=16, fps_round_size=4, grid_convergence=True, grid_convergence_grid_bins=2,
-                         grid_convergence_min_rounds=2, grid_convergence_patience=1, grid_convergence_min_novelty=0.25)
+    cfg = Farthest(16, rounds=Rounds(4, stop=GridStop(bins=2, min_rounds=2, patience=1, min_novelty=0.25)))
     n = stage_select(frame(spark, corners), cfg, id="id", feat="x").count()
     assert 4 <= n < 16
 
