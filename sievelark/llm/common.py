@@ -62,12 +62,12 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h)
     if n == 0:
         return h
-    k_ = min(k, n)
+    k = min(k, n)
     with np.errstate(over="ignore"):
-        out = np.zeros(n - k_ + 1, np.uint64)
-        for j in range(k_):
-            out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[j:n - k_ + 1 + j] + np.uint64(j + 1))
-        return mix64(out + np.uint64(k_))
+        out = h[:n - k + 1] + np.uint64(k)
+        for j in range(1, k):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + h[j:n - k + 1 + j]
+    return mix64(out)
 
 
 def held_out(key: Column, parts: int) -> Column:
