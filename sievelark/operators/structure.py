@@ -73,18 +73,76 @@ def atoms_within(a: DataFrame, b: DataFrame, cutoff: Column | float, *, max_cuto
     return j.withColumn("d", d).where(F.col("d") <= cutoff).drop("_c")
 
 
+# --- periodic frames ---------------------------------------------------------
+
+def _cross(a: Column, b: Column) -> Column:
+    return F.array(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+
+
+def _dot(a: Column, b: Column) -> Column:
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def wrap_atoms(atoms: DataFrame, lattice: DataFrame) -> DataFrame:
+    """Atoms moved into their frame's cell along its periodic axes; frames without a lattice stay.
+
+    ``lattice``: ``frame, cell`` (three vectors) ``, pbc`` (three booleans); any cell of non-zero
+    volume, skewed or not, one per frame. Adds ``_cell, _pbc, _high`` (distance between opposite
+    faces), which :func:`with_images` uses.
+    """
+    l = lattice.select("frame", F.col("cell").alias("_cell"), F.col("pbc").alias("_pbc"))
+    c = [F.col("_cell")[i] for i in range(3)]
+    faces = [_cross(c[1], c[2]), _cross(c[2], c[0]), _cross(c[0], c[1])]
+    volume = _dot(c[0], faces[0])
+    j = atoms.join(l, "frame", "left")
+    at = F.array("px", "py", "pz")
+    turns = [F.when(F.col("_pbc")[i], F.floor(_dot(at, faces[i]) / volume).cast("double")).otherwise(0.0) for i in range(3)]
+    moved = [F.col(p) - F.coalesce(turns[0] * c[0][k] + turns[1] * c[1][k] + turns[2] * c[2][k], F.lit(0.0)) for k, p in enumerate(("px", "py", "pz"))]
+    high = F.when(F.col("_cell").isNotNull(), F.array(*[F.abs(volume) / F.sqrt(_dot(f, f)) for f in faces]))
+    return j.withColumns(dict(zip(("px", "py", "pz"), moved)) | {"_high": high})
+
+
+def with_images(wrapped: DataFrame, reach: float) -> DataFrame:
+    """Wrapped atoms and all their images that may lie within ``reach`` of a wrapped atom."""
+    def steps(i: int) -> Column:
+        n = F.floor(F.lit(float(reach)) / F.col("_high")[i] + 1.0).cast("int")
+        return F.when(F.coalesce(F.col("_pbc")[i], F.lit(False)), F.sequence(-n, n)).otherwise(F.array(F.lit(0)))
+
+    j = wrapped
+    for i in range(3):
+        j = j.withColumn(f"_s{i}", F.explode(steps(i)))
+    shift = lambda k: F.coalesce(sum((F.col(f"_s{i}") * F.col("_cell")[i][k] for i in (1, 2)), F.col("_s0") * F.col("_cell")[0][k]), F.lit(0.0))
+    j = j.withColumns({p: F.col(p) + shift(k) for k, p in enumerate(("px", "py", "pz"))})
+    return j.drop("_s0", "_s1", "_s2", "_cell", "_pbc", "_high")
+
+
+def atoms_within_images(a: DataFrame, b: DataFrame, cutoff: Column | float, *, max_cutoff: float, lattice: DataFrame, extra: Column | None = None) -> DataFrame:
+    """Like :func:`atoms_within` with one periodic cell per frame: ``d`` is the distance to the nearest image."""
+    bare = lambda df: wrap_atoms(df, lattice).drop("_cell", "_pbc", "_high")
+    p = atoms_within(bare(a), with_images(wrap_atoms(b, lattice), max_cutoff), cutoff, max_cutoff=max_cutoff, extra=extra)
+    keys = ["frame", *[c for c in p.columns if c not in ("frame", "d", "b_px", "b_py", "b_pz")]]
+    near = p.groupBy(*keys).agg(F.min_by(F.struct("b_px", "b_py", "b_pz", "d"), "d").alias("_m"))
+    return near.select(*keys, "_m.b_px", "_m.b_py", "_m.b_pz", "_m.d")
+
+
+def _contacts(a: DataFrame, b: DataFrame, cutoff, *, max_cutoff: float, lattice: DataFrame | None = None, extra: Column | None = None, **cell) -> DataFrame:
+    if lattice is None:
+        return atoms_within(a, b, cutoff, max_cutoff=max_cutoff, extra=extra, **cell)
+    return atoms_within_images(a, b, cutoff, max_cutoff=max_cutoff, lattice=lattice, extra=extra)
+
+
 def _radii_sum() -> Column:
     return covalent_radius("a_z") + covalent_radius("b_z")
 
 
-def bonds(atoms: DataFrame, tau: float = 1.20) -> DataFrame:
+def bonds(atoms: DataFrame, tau: float = 1.20, lattice: DataFrame | None = None) -> DataFrame:
     """Adsorbate bonds ``frame, i, j`` with ``d <= tau (ri + rj)``, ``i < j``."""
     ads = atoms.where("is_ads").select("frame", "atom", "z", "px", "py", "pz")
-    p = atoms_within(ads, ads, tau * _radii_sum(), max_cutoff=tau * WIDEST, extra=F.col("a_atom") < F.col("b_atom"))
+    p = _contacts(ads, ads, tau * _radii_sum(), max_cutoff=tau * WIDEST, extra=F.col("a_atom") < F.col("b_atom"), lattice=lattice)
     return p.select("frame", F.col("a_atom").alias("i"), F.col("b_atom").alias("j"), F.col("a_z").alias("zi"), F.col("b_z").alias("zj"), "d")
 
 
-def binding_pairs(atoms: DataFrame, tau: float = 1.15, *, ignore_h: bool = True, cell=None, pbc=(True, True, False)) -> DataFrame:
+def binding_pairs(atoms: DataFrame, tau: float = 1.15, *, ignore_h: bool = True, cell=None, pbc=(True, True, False), lattice: DataFrame | None = None) -> DataFrame:
     """Contacts ``frame, ads, surf`` between adsorbate and slab atoms; hydrogens count only in
     adsorbates without a heavier atom."""
     cols = ["frame", "atom", "z", "px", "py", "pz"]
@@ -92,7 +150,7 @@ def binding_pairs(atoms: DataFrame, tau: float = 1.15, *, ignore_h: bool = True,
     if ignore_h:
         heavy = ads.where("z <> 1").select("frame").distinct().withColumn("_heavy", F.lit(True))
         ads = ads.join(heavy, "frame", "left").where((F.col("z") != 1) | F.col("_heavy").isNull()).drop("_heavy")
-    p = atoms_within(ads, slab, tau * _radii_sum(), max_cutoff=tau * WIDEST, cell=cell, pbc=pbc)
+    p = _contacts(ads, slab, tau * _radii_sum(), max_cutoff=tau * WIDEST, cell=cell, pbc=pbc, lattice=lattice)
     return p.select("frame", F.col("a_atom").alias("ads"), F.col("b_atom").alias("surf"), F.col("a_z").alias("z_ads"),
                     F.col("b_z").alias("z_surf"), "d")
 
@@ -104,7 +162,7 @@ def surface_graph(atoms: DataFrame, surface: DataFrame, *, scale: float = 1.2, c
     return p.select("frame", F.col("a_atom").alias("src"), F.col("b_atom").alias("dst"), "d")
 
 
-def min_contact_ratio(atoms: DataFrame, tau: float = 1.5) -> DataFrame:
+def min_contact_ratio(atoms: DataFrame, tau: float = 1.5, lattice: DataFrame | None = None) -> DataFrame:
     """Per frame the smallest ``d / (ra + rs)`` over all adsorbate-slab pairs.
 
     A near pass settles every frame whose best ratio cannot be beaten from outside its
@@ -114,9 +172,11 @@ def min_contact_ratio(atoms: DataFrame, tau: float = 1.5) -> DataFrame:
     ads, slab = atoms.where("is_ads").select(*cols), atoms.where("not is_ads").select(*cols)
     reach = tau * WIDEST
     ratio = (F.col("d") / F.greatest(F.lit(1e-12), _radii_sum())).alias("r")
-    near = (atoms_within(ads, slab, reach, max_cutoff=reach).select("frame", ratio)
+    near = (_contacts(ads, slab, reach, max_cutoff=reach, lattice=lattice).select("frame", ratio)
             .groupBy("frame").agg(F.min("r").alias("min_ratio")).where(F.col("min_ratio") <= tau))
     rest = atoms.select("frame").distinct().join(near, "frame", "left_anti")
+    if lattice is not None:  # far frames: two cells around are enough for the nearest image
+        ads, slab = wrap_atoms(ads, lattice).drop("_cell", "_pbc", "_high"), with_images(wrap_atoms(slab, lattice).withColumn("_high", F.array(*[F.lit(1.0)] * 3)), 1.0)
     la = ads.join(rest, "frame", "left_semi").select("frame", *[F.col(c).alias(f"a_{c}") for c in cols[1:]])
     rb = slab.join(rest, "frame", "left_semi").select("frame", *[F.col(c).alias(f"b_{c}") for c in cols[1:]])
     far = (la.join(rb, "frame").withColumn("d", distance3("a_px", "a_py", "a_pz", "b_px", "b_py", "b_pz"))
@@ -386,19 +446,20 @@ def bond_changes(now: DataFrame, ref: DataFrame) -> DataFrame:
 
 def classify_frames(relaxed: DataFrame, reference: DataFrame, *, tau: float = 1.15, min_bonds: int = 1, slack: float = 0.25,
                     max_disp: float = 1.0, check_reconstruction: bool = True, allow_bond_change: bool = False,
-                    burial_margin: float = 0.5, bond_tau: float = 1.20, axis: str = "pz") -> DataFrame:
+                    burial_margin: float = 0.5, bond_tau: float = 1.20, axis: str = "pz", lattice: DataFrame | None = None) -> DataFrame:
     """First matching rule per frame: invalid_split, desorption, surface_reconstruction,
-    dissociation, burial, or NULL; with the measured values as columns."""
+    dissociation, burial, or NULL; with the measured values as columns. ``lattice`` gives every
+    frame its own periodic cell (see :func:`wrap_atoms`)."""
     counts = relaxed.groupBy("frame").agg(
         F.count_if(~F.col("is_ads")).alias("slab_n"), F.count(F.lit(1)).alias("n_atoms"),
         F.min(F.when(~F.col("is_ads"), F.col(axis))).alias("slab_min_axis"), F.max(F.when(~F.col("is_ads"), F.col(axis))).alias("slab_max_axis"),
         F.min(F.when(F.col("is_ads"), F.col(axis))).alias("ads_min_axis"), F.max(F.when(F.col("is_ads"), F.col(axis))).alias("ads_max_axis"))
-    pairs = binding_pairs(relaxed, tau).groupBy("frame").agg(F.count(F.lit(1)).alias("binding_pair_n"))
-    ratio = min_contact_ratio(relaxed).withColumnRenamed("min_ratio", "min_surface_contact_ratio")
+    pairs = binding_pairs(relaxed, tau, lattice=lattice).groupBy("frame").agg(F.count(F.lit(1)).alias("binding_pair_n"))
+    ratio = min_contact_ratio(relaxed, lattice=lattice).withColumnRenamed("min_ratio", "min_surface_contact_ratio")
     ref = reference.where("not is_ads").select("frame", "atom", *[F.col(p).alias(f"r{p}") for p in ("px", "py", "pz")])
     disp = (relaxed.where("not is_ads").join(ref, ["frame", "atom"])
             .groupBy("frame").agg(F.max(distance3("px", "py", "pz", "rpx", "rpy", "rpz")).alias("surface_max_disp")))
-    change = bond_changes(bonds(relaxed, bond_tau), bonds(reference, bond_tau))
+    change = bond_changes(bonds(relaxed, bond_tau, lattice), bonds(reference, bond_tau, lattice))
     d = counts
     for other in (pairs, ratio, disp, change):
         d = d.join(other, "frame", "left")

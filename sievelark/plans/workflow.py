@@ -34,9 +34,11 @@ def surface_distances(frames: DataFrame, name: str = "features") -> DataFrame:
 
 
 def run_workflow(frames: DataFrame, *, schedule: str | Schedule = "multistage_default", relax_backend="identity", tau: float = 1.15, delta: float = 1.0,
-                 basin_threshold: float = 0.10, method: str = "greedy", merge_threshold: float | None = None, reference: DataFrame | None = None) -> Result:
+                 basin_threshold: float = 0.10, method: str = "greedy", merge_threshold: float | None = None, reference: DataFrame | None = None, lattice: DataFrame | None = None) -> Result:
     """From pose frames to basins and nodes.
 
+    ``lattice`` (``frame, cell, pbc``) gives frames periodic cells for contacts and bonds.
+
     ``frames``: ``frame_id, numbers, positions, slab_n, energy``. Every row keeps its
     ``frame_id`` through all stages, so members always point at the right input.
     """
@@ -46,13 +48,13 @@ def run_workflow(frames: DataFrame, *, schedule: str | Schedule = "multistage_de
     relaxed = settle(surface_distances(relax(picked.drop("features"), relax_backend)))
     atoms = settle(S.explode_frames(relaxed))
     ref = settle(S.explode_frames((reference if reference is not None else frames).join(relaxed.select("frame_id"), "frame_id", "left_semi")))
-    marked = S.classify_frames(atoms, ref, tau=tau).select(F.col("frame").alias("frame_id"), F.col("reason").alias("anomaly"))
+    marked = S.classify_frames(atoms, ref, tau=tau, lattice=lattice).select(F.col("frame").alias("frame_id"), F.col("reason").alias("anomaly"))
     j = settle(relaxed.join(marked, "frame_id", "left"))
     ok = settle(basin_window(j.where("anomaly is null"), "energy", delta))
     rejected = j.where("anomaly is not null").select("frame_id", F.col("anomaly").alias("reason")).unionByName(
         ok.where("reason is not null").select("frame_id", "reason"))
     kept = stage_select(ok.where("reason is null").drop("reason", "energy_min", "delta_e", "anomaly"), sch.after, id="frame_id", feat="features", energy="energy")
-    pairs = settle(S.binding_pairs(atoms))
+    pairs = settle(S.binding_pairs(atoms, lattice=lattice))
     sig = S.absolute_signature(pairs).withColumnRenamed("frame", "frame_id")
     kept = settle(kept.join(sig, "frame_id", "left").withColumn("signature", F.coalesce("signature", F.lit("free"))))
     clustered = settle(with_clusters(kept, id="frame_id", feat="features", threshold=basin_threshold, method=method, energy="energy", group=["signature"]))

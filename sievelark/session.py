@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +26,15 @@ def make_session(app: str = "sievelark", cores: int | str = "*", shuffle: int =
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, for clusters on which it is not installed."""
+    import sievelark
+
+    root = os.path.dirname(os.path.abspath(sievelark.__file__))
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="sievelark-"), "sievelark"), "zip", os.path.dirname(root), os.path.basename(root))
+    spark.sparkContext.addPyFile(made)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode."""
     sc = spark.sparkContext
