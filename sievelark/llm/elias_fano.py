@@ -9,6 +9,12 @@ import uuid
 import numpy as np
 
 
+_1, _2, _4, _LAST = (np.uint64(x) for x in (1, 2, 4, 255))
+_PAIRS, _FOURS, _BYTES, _ONES, _HIGH = (np.uint64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x0101010101010101, 0x8080808080808080))
+#: Place of the k-th set bit of a byte.
+_PLACE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.int64)
+
+
 def _pack(bits: np.ndarray) -> np.ndarray:
     """0/1 bytes to little-endian 64-bit words, with one spare word."""
     b = np.packbits(bits, bitorder="little")
@@ -67,16 +73,15 @@ class EliasFano:
 
     @staticmethod
     def _nth(word: np.ndarray, r: np.ndarray) -> np.ndarray:
-        """Place of the r-th set bit of each word."""
-        pos = np.zeros(len(word), np.int64)
-        r = r.copy()
-        for width in (32, 16, 8, 4, 2, 1):
-            c = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
-            go = r >= c
-            r -= np.where(go, c, 0)
-            word = np.where(go, word >> np.uint64(width), word)
-            pos += np.where(go, width, 0)
-        return pos
+        """Place of the r-th set bit of each word: sums of bits up to each byte give the byte, a table the place in it."""
+        r = r.astype(np.uint64)
+        with np.errstate(over="ignore"):
+            s = word - ((word >> _1) & _PAIRS)
+            s = (s & _FOURS) + ((s >> _2) & _FOURS)
+            s = ((s + (s >> _4)) & _BYTES) * _ONES
+            at = np.bitwise_count(((r * _ONES) | _HIGH) - s & _HIGH).astype(np.uint64) << np.uint64(3)
+            rest = (r - (((s << np.uint64(8)) >> at) & _LAST)).astype(np.int64)
+        return at.astype(np.int64) + _PLACE[((word >> at) & _LAST).astype(np.int64), rest]
 
     def _select0(self, k: np.ndarray) -> np.ndarray:
         w = np.searchsorted(self.zeros, k, side="right") - 1
@@ -101,8 +106,16 @@ class EliasFano:
         if not self.n or not len(x):
             return out
         h = (x >> np.uint64(self.low_bits)).astype(np.int64)
-        a = np.where(h > 0, self._select0(np.maximum(h - 1, 0)) - h + 1, 0)
-        b = self._select0(h) - h
+        before = np.where(h > 0, self._select0(np.maximum(h - 1, 0)), -1)  # the zero that closes the bucket before
+        a = before - h + 1
+        # the bucket's ones follow; only a run that fills its word asks for the next zero
+        w = np.minimum((before + 1) >> 6, len(self.high) - 1)
+        free = ~self.high[w] >> ((before + 1) & 63).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            b = a + np.bitwise_count((free & (~free + _1)) - _1)
+        odd = np.nonzero((free == 0) | ((before + 1) >> 6 >= len(self.high)))[0]
+        if len(odd):
+            b[odd] = self._select0(h[odd]) - h[odd]
         a, b = np.minimum(a, self.n), np.minimum(b, self.n)
         if lo is not None:
             a, b = np.maximum(a, lo), np.minimum(b, hi)
@@ -138,7 +151,7 @@ def save(path: str, arrays: dict[str, np.ndarray]) -> None:
 
 
 def load(path: str) -> dict[str, np.ndarray]:
-    data = np.memmap(path, np.uint8, "r")
+    data = np.asarray(np.memmap(path, np.uint8, "r"))  # a plain view: the memmap class costs more on every slice
     n = int.from_bytes(bytes(data[:8]), "little")
     out = {}
     for k, (kind, count, at) in json.loads(bytes(data[8:8 + n])).items():

@@ -126,13 +126,16 @@ def _count_ngrams(docs: DataFrame, model: "Model") -> DataFrame:
             number = (model.lookup(known)[0] + 1).astype(np.uint32)[at]
             cut = np.cumsum([len(p) for p in part])[:-1]
             u, v, w = _triples(np.split(number, cut))
-            s = _shard_of(u, v, model.shards).astype(np.uint32)
-            by = np.lexsort((w, v, u, s))
-            s, u, v, w = s[by], u[by], v[by], w[by]
-            new = np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
-            first = np.nonzero(new)[0]
-            c = np.diff(np.concatenate([first, [len(u)]])).astype(np.uint32)
-            s, u, v, w = s[first], u[first], v[first], w[first]
+            pair = (u.astype(np.uint64) << np.uint64(32)) | v
+            by = np.lexsort((w, pair))
+            pair, w = pair[by], w[by]
+            first = np.nonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (w[1:] != w[:-1])]))[0]
+            c = np.diff(np.concatenate([first, [len(pair)]])).astype(np.uint32)
+            pair, w = pair[first], w[first]
+            u, v = (pair >> np.uint64(32)).astype(np.uint32), pair.astype(np.uint32)
+            s = _shard_of(u, v, model.shards)
+            by = np.argsort(s.astype(np.uint16 if model.shards < 1 << 16 else np.int64), kind="stable")
+            s, u, v, w, c = s[by], u[by], v[by], w[by], c[by]
             edge = np.searchsorted(s, np.arange(model.shards + 1))
             yield _rows([(k, _squeeze(np.diff(u[a:b], prepend=u.dtype.type(0)), v[a:b], w[a:b], c[a:b])) for k in range(model.shards) for a, b in [(edge[k], edge[k + 1])] if a < b])
 
@@ -166,7 +169,7 @@ def _build_trie(model: "Model"):
             for k in (1, 2, 3):
                 cols[k].append(x[k])
         u, v, w, c = (np.concatenate(x) for x in cols)
-        by = np.lexsort((w, v, u))
+        by = np.lexsort((w, (u.astype(np.uint64) << np.uint64(32)) | v))
         u, v, w, c = u[by].astype(np.int64), v[by].astype(np.int64), w[by], c[by].astype(np.int64)
         first = np.nonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))[0]
         u, v, w, c = u[first], v[first], w[first], np.add.reduceat(c, first)
@@ -188,7 +191,7 @@ def _build_trie(model: "Model"):
         save(f"{folder}/trie/{s}", EliasFano.build(roots, size).arrays("l1") | EliasFano.build(np.concatenate([[0], np.cumsum(fan)]), len(pu) + 1).arrays("to2")
              | EliasFano.build(rank * size + pv, len(roots) * size).arrays("l2") | EliasFano.build(np.concatenate([[0], np.cumsum(kids)]), int(real.sum()) + 1).arrays("to3")
              | EliasFano.build(node[real] * size + w[real].astype(np.int64), len(pair) * size).arrays("l3")
-             | {"p2": p2, "back": back, "p3": p3, "book2": book2, "book_back": book_back, "book3": book3})
+             | {"p2": p2, "back": back, "p3": p3, "width": np.array([size]), "book2": book2, "book_back": book_back, "book3": book3})
         at = np.searchsorted(model.base, np.maximum(roots - 1, 0), side="right") - 1
         at = np.where(roots == 0, -1, at)
         return pd.DataFrame([(int(k), _squeeze(roots[at == k], fan[at == k])) for k in np.unique(at)], columns=["shard", "data"]).astype({"shard": "int32"})
@@ -213,6 +216,17 @@ def _build_followers(folder: str, base: np.ndarray):
     return build
 
 
+def followers(path: str, word: int) -> list[int]:
+    """Numbers of the words that follow ``word`` in one shard: the entries between its two pointers, less its offset."""
+    parts = load(path)
+    l1, l2, to2 = (EliasFano.load(parts, x) for x in ("l1", "l2", "to2"))
+    r = l1.find(np.array([word]))
+    if r[0] < 0:
+        return []
+    a, b = (int(to2.get(r + k)[0]) for k in (0, 1))
+    return [int(x) for x in l2.get(np.arange(a, b)) - np.uint64(int(r[0]) * int(parts["width"][0]))]
+
+
 class Model:
     """Where the levels lie and the few totals a task needs; the levels themselves are memory-mapped by tasks."""
 
@@ -285,27 +299,26 @@ class Model:
                 if parts is None:
                     continue
                 l1, l2, l3 = (EliasFano.load(parts, x) for x in ("l1", "l2", "l3"))
-                to2, to3 = EliasFano.load(parts, "to2"), EliasFano.load(parts, "to3")
                 width = self.words + 2
                 r = l1.find(before[q])
                 q, r = q[r >= 0], r[r >= 0]
                 if not len(q):
                     continue
-                # children of the context only: between its pointers, at its offset
-                n = l2.find(r * width + w[q], to2.get(r).astype(np.int64), to2.get(r + 1).astype(np.int64))
+                # entries are numbered from their context's offset on, so the search starts and ends among its children
+                n = l2.find(r * width + w[q])
                 q, n = q[n >= 0], n[n >= 0]
                 if not len(q):
                     continue
-                p2[q] = 10 ** parts["book2"][parts["p2"][n]]
-                back2[q] = 10 ** parts["book_back"][parts["back"][n]]
+                p2[q] = (10 ** parts["book2"])[parts["p2"][n]]
+                back2[q] = (10 ** parts["book_back"])[parts["back"][n]]
                 node[q] = True
                 more = ~last[q]
                 q, n = q[more] + 1, n[more]
                 more = w[q] > 0
                 q, n = q[more], n[more]
                 if len(q):
-                    c = l3.find(n * width + w[q], to3.get(n).astype(np.int64), to3.get(n + 1).astype(np.int64))
-                    p3[q[c >= 0]] = 10 ** parts["book3"][parts["p3"][c[c >= 0]]]
+                    c = l3.find(n * width + w[q])
+                    p3[q[c >= 0]] = (10 ** parts["book3"])[parts["p3"][c[c >= 0]]]
         p2 = np.where(context, p2 + back * p1, p1)
         seen = np.zeros(len(flat), bool)
         seen[1:] = node[:-1] & ~last[:-1]
