@@ -54,7 +54,7 @@ class Chain:
     """Per category, in order, linear weights over word features, shape features, and the earlier categories' chances."""
 
     def __init__(self, names: list[str], known: np.ndarray) -> None:
-        self.names, self.known, self.links = names, known, []
+        self.names, self.known, self.links, self.cuts = names, known, [], []
 
     def chances(self, texts: list[bytes | None]) -> np.ndarray:
         words, n = _Features(self.known), len(self.known)
@@ -74,7 +74,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, names: list[str], sample: int
     At most ``sample`` labelled rows take part. A later model sees the earlier categories'
     chances as features; in training those are out-of-fold predictions of models that have not
     seen the row, else later links would trust them too much. Word features that fewer than
-    MIN_TEXTS texts share are left out. A category with one class only gets chance 0 or 1.
+    MIN_TEXTS texts share are left out. ``cuts`` has, per category, the chance with the best F1
+    over out-of-fold predictions. A category with one class only gets chance 0 or 1.
     """
     spark = docs.sparkSession
     ok = F.lit(True)
@@ -111,18 +112,29 @@ def fit_chain(docs: DataFrame, labels: DataFrame, names: list[str], sample: int
     for k, c in enumerate(names):
         train = store(held.select("doc_id", "fold", F.col(c).cast("double").alias("label"), to_vector("ids", "x", "earlier").alias("v")), f"toxic-link{k}")
         chain.links.append(_logistic(train, n + WIDTH + k))
-        if k + 1 == len(names):
-            break
         unseen = None
         for f in range(FOLDS):
             w, b = _logistic(train.where(F.col("fold") != f), n + WIDTH + k)
             part = train.where(F.col("fold") == f).select("doc_id", _chance(w, b)("v").alias("p"))
             unseen = part if unseen is None else unseen.unionByName(part)
         unseen = store(unseen, f"toxic-unseen{k}")
+        chain.cuts.append(_cut(unseen.join(train.select("doc_id", "label"), "doc_id").select("p", "label").toPandas()))  # bounded by ``sample``
         held = held.join(unseen, "doc_id").withColumn("earlier", F.concat("earlier", F.array("p"))).drop("p")
     return chain
 
 
+def _cut(rows) -> float:
+    """The chance from which a category is predicted: the best F1 over out-of-fold chances, 1/2 without both classes."""
+    by = rows.sort_values("p", ascending=False)
+    y, p = by["label"].to_numpy(), by["p"].to_numpy()
+    if len(set(y)) < 2:
+        return 0.5
+    hit = np.cumsum(y)
+    f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
+    best = int(np.argmax(f1))
+    return float((p[best] + p[min(best + 1, len(p) - 1)]) / 2)
+
+
 def _logistic(train: DataFrame, width: int) -> tuple[np.ndarray, float]:
     seen = [r["label"] for r in train.select("label").distinct().collect()]
     if len(seen) < 2:
@@ -157,5 +169,6 @@ CATEGORIES = ["junk", "toxic"]
 def _(spark, base):
     docs = documents(spark, base).select("doc_id", held_out(F.col("doc_id"), 5).alias("held_out"), "text")
     labels = table(spark, base, "labels").where(~held_out(F.col("doc_id"), 5)).select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
-    p = chances(docs, ["doc_id", "held_out"], fit_chain(docs, labels, CATEGORIES))
-    return p.select("doc_id", "held_out", F.col("junk").alias("p_junk"), F.col("toxic").alias("score"), (F.col("toxic") >= 0.5).cast("int").alias("predicted"))
+    chain = fit_chain(docs, labels, CATEGORIES)
+    p = chances(docs, ["doc_id", "held_out"], chain)
+    return p.select("doc_id", "held_out", F.col("junk").alias("p_junk"), F.col("toxic").alias("score"), (F.col("toxic") >= chain.cuts[-1]).cast("int").alias("predicted"))
