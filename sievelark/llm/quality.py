@@ -17,6 +17,8 @@ from sievelark.sources.tables import table
 
 #: Labelled rows that take part in the fit, by the smallest hashes of their ids; pairs per row.
 SAMPLE, PAIRS_PER_ROW = 12_000, 6
+#: Tasks of one pass over the pairs, whose number is bounded.
+FIT_TASKS = 4
 #: A document is kept at this score and above.
 KEEP = 0.3
 WIDTH = 256 + 14
@@ -94,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     ranks = spark.createDataFrame(order[["doc_id", "rank"]].astype("int64"))
     ranked = rows.dropDuplicates(["doc_id"]).join(F.broadcast(ranks), "doc_id")
     pairs = store(preference_pairs(ranked).select("won", array_to_vector("d").alias("d")), "quality-pairs")
-    model = LogisticRegression(featuresCol="d", labelCol="won", fitIntercept=False, regParam=1e-4, maxIter=60).fit(pairs)
+    model = LogisticRegression(featuresCol="d", labelCol="won", fitIntercept=False, regParam=1e-4, maxIter=60).fit(pairs.coalesce(FIT_TASKS))
     w = model.coefficients.toArray()
     scored = rows.select("y", F.aggregate(F.zip_with("x", F.lit(list(map(float, w))), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v).alias("s")).toPandas()
     s, y = scored["s"].to_numpy(), scored["y"].to_numpy()

@@ -20,6 +20,8 @@ from sievelark.sources.tables import table
 
 #: Labelled rows that take part in the fit, by the smallest hashes of their ids; folds; texts that must share a feature.
 SAMPLE, FOLDS, MIN_TEXTS = 12_000, 3, 8
+#: Tasks of one pass over the sample; the sample is bounded, so a fixed number will do.
+FIT_TASKS = 4
 PREFIXES = (4, 5, 6, 7)
 SPACE = 1 << 22
 _WORD = re.compile(r"[^\W\d_]+")
@@ -139,7 +141,7 @@ def _logistic(train: DataFrame, width: int) -> tuple[np.ndarray, float]:
     seen = [r["label"] for r in train.select("label").distinct().collect()]
     if len(seen) < 2:
         return np.zeros(width), (30.0 if seen == [1.0] else -30.0)
-    model = LogisticRegression(featuresCol="v", labelCol="label", regParam=0.003, standardization=False, maxIter=60).fit(train)
+    model = LogisticRegression(featuresCol="v", labelCol="label", regParam=0.003, standardization=False, maxIter=60).fit(train.coalesce(FIT_TASKS))
     return model.coefficients.toArray(), float(model.intercept)
 
 
