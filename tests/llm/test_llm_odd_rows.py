@@ -154,6 +154,32 @@ def test_jaccard_blocks_do_not_change_results(spark, monkeypatch):
     assert {r[0]: r[3] for r in want} == links
 
 
+def test_jaccard_leads_stand_for_all_sets_of_their_size(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    passages = [[f"p{k}w{i}" for i in range(30)] for k in range(10)]
+    rows = []
+    for g in range(40):
+        w = sum((passages[k] for k in sorted(rng.choice(10, 5, replace=False))), [])
+        c = int(rng.integers(1, 40))
+        at = int(rng.integers(0, len(w) - c))
+        rows += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w[:at] + w[at + c:]))]
+    sets = {i: set(zip(*[t.split()[k:] for k in range(5)])) for i, t in rows}
+    near = {i: [j for j in sets if j != i and 7 * len(sets[i] & sets[j]) >= 3 * (len(sets[i]) + len(sets[j]))] for i in sets}
+    want = {}
+    for i in sorted(sets):
+        todo = [i]
+        while todo:
+            j = todo.pop()
+            if j not in want:
+                want[j] = i
+                todo += near[j]
+    monkeypatch.setattr(jaccard, "EQUAL", 1)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 2, 5):
+        got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard.near_duplicates(d.repartition(parts, "doc_id")).collect()}
+        assert got == {i: (want[i], len(near[i])) for i in sets}
+
+
 def test_mix(spark, odd, nothing):
     got = mixing.mixed_documents(odd).collect()
     assert len(got) == N and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
