@@ -154,6 +154,17 @@ def test_jaccard_blocks_do_not_change_results(spark, monkeypatch):
     assert {r[0]: r[3] for r in want} == links
 
 
+def test_jaccard_null_ids_hold_their_neighbours_together(spark):
+    w = [f"w{i}" for i in range(104)]
+    # 4 - null - 3 is a chain whose ends do not link
+    rows = [(4, " ".join(w[:94])), (None, " ".join(w[5:99])), (3, " ".join(w[17:])), (None, "alone " + " ".join(w[::-1])), (9, "an other text of its own")]
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for _, t in rows]
+    links = [sum(7 * len(a & b) >= 3 * (len(a) + len(b)) for b in sets) - 1 for a in sets]
+    assert links == [1, 2, 1, 0, 0]
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, ((r["doc_id"], r["component_id"], r["n_links"]) for r in got))) == sorted(map(str, [(4, 3, 1), (None, 3, 2), (3, 3, 1), (None, None, 0), (9, 9, 0)]))
+
+
 def test_jaccard_leads_stand_for_all_sets_of_their_size(spark, monkeypatch):
     rng = np.random.default_rng(0)
     passages = [[f"p{k}w{i}" for i in range(30)] for k in range(10)]
