@@ -143,14 +143,14 @@ def _blocks(items: DataFrame) -> tuple[DataFrame, int]:
     """Items dealt by hash to blocks of about BLOCK_WORDS words (four bytes and more each), and how many blocks."""
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // (4 * BLOCK_WORDS)))
-    return items.withColumn("_block", F.pmod(F.xxhash64("item"), F.lit(n))), n
+    return items.withColumn("_block", F.pmod(F.xxhash64("item", "text"), F.lit(n))), n
 
 
 #: Kinds of the columns added to documents: words, hit word spans (start, end), items found.
 MADE = [("_n", T.LongType()), ("_spans", T.ArrayType(T.ArrayType(T.IntegerType()))), ("_items", T.ArrayType(T.StringType()))]
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 10, unnamed: bool = False) -> DataFrame:
     """Append three columns (see ``MADE``) to ``docs``: words, hit word spans (start, end), items found.
 
     Their names get underscores in front where ``docs`` has them already.
@@ -159,9 +159,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     automaton of the items, which tracks the longest match ending at every word; a match of
     ``window`` words, or of a whole shorter item, is a hit. The items' automaton is broadcast
     in blocks of about BLOCK_WORDS words: the size of a broadcast has that bound, and more
-    items mean more passes over the documents. Null texts have no words.
+    items mean more passes over the documents. Null texts have no words. Items without an id are left out,
+    or with ``unnamed`` hit like any other and are listed as null.
     """
-    it = items.select(F.col("item").cast("string").alias("item"), "text").where("text is not null and item is not null").distinct()
+    it = items.select(F.col("item").cast("string").alias("item"), "text").where("text is not null" if unnamed else "text is not null and item is not null").distinct()
     it, n = _blocks(store(it, "items"))
     spark = docs.sparkSession
     fields = docs.schema
@@ -212,9 +213,10 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = 10, max_covera
     """Documents with hit spans cut out of their texts; those covered beyond ``max_coverage`` are dropped.
 
     A cut goes from the first to the last word of a span, with what stands between them.
-    Texts without a hit stay byte for byte. Columns are those of ``docs``.
+    Texts without a hit stay byte for byte. Columns are those of ``docs``. Items without an id
+    are cut like any other.
     """
-    hit = contamination(docs, items, window)
+    hit = contamination(docs, items, window, unnamed=True)
     at = docs.columns.index("text")
     schema = docs.schema
 
@@ -269,7 +271,7 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM w LEFT JOIN h USING (doc_id) LEFT JOIN its USING (doc_id)""")
 def _(spark, base):
     b = table(spark, base, "benchmark").select(F.col("item_id").alias("item"), "text")
-    c = contamination(documents(spark, base).select("doc_id", "text"), b)
+    c = contamination(documents(spark, base).select("doc_id", "text"), b, unnamed=True)
     return digest(c)
 
 

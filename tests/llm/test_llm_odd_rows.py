@@ -1,9 +1,10 @@
 """Nulls, empty and long texts, ties, repeats, empty tables and clashing column names: every operator has a defined result."""
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from sievelark.llm import decontaminate, jaccard, licenses, line_dedup, mixing, ngram_lm, order_minhash, quality, secrets, toxicity
+from sievelark.llm import decontaminate, jaccard, licenses, line_dedup, mixing, ngram_lm, order_minhash, quality, queries, secrets, toxicity
 from tests.llm.conftest import LONG, PASSAGE
 
 N = 13
@@ -90,6 +91,21 @@ def test_decontamination(spark, odd, nothing):
     assert decontaminate.remove_spans(odd, items.limit(0)).count() == N
 
 
+def test_decontamination_by_items_without_id(spark, odd, tmp_path):
+    items = [(None, "beta gamma delta"), (None, "epsilon zeta"), (5, "gamma delta epsilon"), (6, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = odd.where("doc_id in (1, 4, 10)").distinct()
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.QUERIES["op6_decontaminate"](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as c:
+        for t in ("documents", "benchmark"):
+            c.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+        want = {r[0]: r for r in c.execute(queries.SQL["op6_decontaminate"]).fetchall()}
+    assert {k: tuple(r) for k, r in got.items()} == want and got[1]["n_hit"] == 5 and got[1]["n_items"] == 2
+    left = decontaminate.remove_spans(docs, spark.createDataFrame(items[:1], "item string, text string"), max_coverage=0.6)
+    assert {r["doc_id"]: r["text"] for r in left.collect()}[1] == "alpha  epsilon zeta"
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(2)
     word = lambda n: [f"w{x}" for x in rng.integers(0, 30, n)]
