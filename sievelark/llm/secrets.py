@@ -148,7 +148,7 @@ def thresholds(docs: DataFrame, share: np.ndarray, fdr: float = FDR) -> np.ndarr
     for r in rows.groupBy("s").agg(F.sum("n").alias("n")).collect():
         m[r["s"]] = r["n"]
     cut = np.full(len(STRATA), fdr)
-    for _ in range(200):  # falls to the largest p with p <= fdr * rank / tested; few rounds, each one aggregation
+    while True:  # falls to the largest p with p <= fdr * rank / tested, step by step of 1 / tested; mostly few rounds, each one aggregation
         bound = F.element_at(F.array(*[F.lit(float(c)) for c in cut]), F.col("s") + 1)
         ranks = {r["s"]: r["k"] for r in rows.where(F.col("p") <= bound).groupBy("s").agg(F.count(F.lit(1)).alias("k")).collect()}
         new = np.array([min(cut[s], fdr * ranks.get(s, 0) / m[s]) if m[s] else 0.0 for s in range(len(STRATA))])

@@ -71,6 +71,14 @@ def test_secrets_find_random_runs_and_leave_words(spark):
     assert sum(got[i] == [[len(prose), len(prose) + 32, 3]] for i in range(30)) >= 29 and got[100] == [] and not got[101]
 
 
+def test_secret_bound_settles_however_many_rounds_it_takes(spark, monkeypatch):
+    k = 215
+    # run i has the chance 0.001 * (i + 1.5) / k, so each round takes one run out, and none is left
+    monkeypatch.setattr(secrets, "battery", lambda runs, share: (np.array([0.001 * (int(r[-4:]) + 1.5) / k for r in runs]), np.ones(len(runs))))
+    df = spark.createDataFrame([(1, " ".join("a" * 16 + f"{i:04d}" for i in range(k)))], "doc_id long, text string").coalesce(1)
+    assert not secrets.thresholds(df, np.ones(256) / 256).any()
+
+
 def test_licenses(spark, odd, nothing):
     assert licenses.scan(odd.select(F.col("source").alias("path"), "text")).count() == 2
     assert licenses.scan(nothing.select(F.col("source").alias("path"), "text")).count() == 0
