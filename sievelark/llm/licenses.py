@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sievelark.llm.common import documents, store
 from sievelark.llm.registry import query
 
-# Short notices by which the public licenses ask to be named, by SPDX identifier.
+# Fixed values, also in the SQL: one-line notices by SPDX identifier, five as in the test documents; whole texts and SPDX headers are missing.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted. Licensed under the BSD 3-Clause License.",
