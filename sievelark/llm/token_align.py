@@ -29,14 +29,16 @@ TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A task hands on its documents in chunks of so many bytes of text or so many distinct pieces; this changes costs only.
 CHUNK_BYTES, CHUNK_PIECES = 32 << 20, 300_000
-#: Bytes of one text that are cut at a time.
-SLICE = 4 << 20
+#: Bytes of one text that are cut at a time, and pieces that are aligned at a time.
+SLICE, AT_ONCE = 4 << 20, 20_000
 #: Pair key: id of A times this plus id of B.
 _SHIFT = 1 << 31
 #: The pattern of byte-level pre-tokenisation (fixed value of the public vocabulary).
 _PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A blank after an ASCII sign or a two-byte letter starts a new token in both tokenizers, unless only blanks follow.
-_CUT = re.compile(rb"(?:(?<=[\x21-\x7E])|(?<=[\xC3-\xDF][\x80-\xBF]))(?=\x20+[^\x20])")
+_CUT = re.compile(rb"(?:(?<=[\x21-\x7E])|(?<=[\xC3-\xDF][\x80-\xBF]))\x20(?=\x20*[^\x20])")
+#: Blanks that are no such cut; a text without them is cut at every blank.
+_UNCUT = re.compile(rb"\x20(?:\x20|$)|(?:[\x00-\x1F\x7F]|\xC2[\x80-\xBF]|[\xE0-\xFF][\x80-\xBF]+)\x20")
 
 Encoder = tuple[Callable[[list[str]], list[list[int]]], list[bytes]]
 
@@ -49,7 +51,7 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 def byte_level(spec: bytes) -> Encoder:
-    """Encoder of a byte-level BPE file, and the bytes of every id.
+    """Encoder of a byte-level BPE file for texts with a blank set before them, and the bytes of every id.
 
     Where the merges stand in the order of their ids, ranks are enough and the quicker rank encoder
     gives the same tokens; any other file is encoded by its own library.
@@ -68,22 +70,22 @@ def byte_level(spec: bytes) -> Encoder:
 
         ranks = {b: i for i, b in enumerate(token) if b and i not in special.values()}
         encode = tiktoken.Encoding("byte_level", pat_str=_PRETOKENS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        return lambda texts: [encode(t) for t in texts], token
+        return lambda texts: [encode(" " + t) for t in texts], token
     from tokenizers import Tokenizer
 
     full = Tokenizer.from_str(spec.decode())
     full.encode_special_tokens = True
-    return lambda texts: [e.ids for e in full.encode_batch(texts, add_special_tokens=False)], token
+    return lambda texts: [e.ids for e in full.encode_batch([" " + t for t in texts], add_special_tokens=False)], token
 
 
 def piece_level(spec: bytes) -> Encoder:
-    """Encoder of a sentence-piece model for texts that start with a blank (the model adds that blank itself), and the bytes of every id."""
+    """Encoder of a sentence-piece model, which sets a blank before every text, and the bytes of every id."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_proto=spec)
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     token = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
-    return lambda texts: model.encode([t[1:] for t in texts], num_threads=1), token
+    return lambda texts: model.encode(texts, num_threads=1), token
 
 
 @lru_cache(2)
@@ -94,13 +96,17 @@ def _encoders(a: bytes, b: bytes) -> tuple[Encoder, Encoder, bool]:
 
 
 def pieces_of(text: bytes, cut: bool = True) -> Iterator[list[bytes]]:
-    """Lists of the pieces of blank + text, a bounded part of the text at a time."""
-    text, at = b" " + text, 0
+    """Lists of the pieces of blank + text, each without the blank that it starts with, a bounded part of the text at a time."""
+    at = 0
     while cut and len(text) - at > SLICE and (m := _CUT.search(text, at + SLICE)):
-        yield _CUT.split(text[at:m.start()])
-        at = m.start()
+        yield _cut(text[at:m.start()])
+        at = m.end()
     rest = text[at:] if at else text
-    yield _CUT.split(rest) if cut else [rest]
+    yield _cut(rest) if cut else [rest]
+
+
+def _cut(text: bytes) -> list[bytes]:
+    return _CUT.split(text) if text.startswith(b" ") or _UNCUT.search(text) else text.split(b" ")
 
 
 def _lists(rows: list[list[int]]) -> pa.ListArray:
@@ -117,13 +123,13 @@ def _ends(tokens: pa.ListArray, lengths: pa.Array, side: str) -> pa.Table:
 
 
 class Aligned:
-    """Alignment of distinct pieces: per piece its token, group and link numbers, its groups as text, and its links as pair keys."""
+    """Alignment of distinct pieces (blanks set before them): per piece its token, group and link numbers, its groups as text, and its links as pair keys."""
 
     def __init__(self, pieces: list[bytes], left: Encoder, right: Encoder) -> None:
         texts = [p.decode() for p in pieces]
         a, b = left[0](texts), right[0](texts)
         at, bt = left[1], right[1]
-        self.valid = np.fromiter((b"".join(map(at.__getitem__, x)) == p == b"".join(map(bt.__getitem__, y)) for p, x, y in zip(pieces, a, b)), bool, len(pieces))
+        self.valid = np.fromiter((b"".join(map(at.__getitem__, x)) == b" " + p == b"".join(map(bt.__getitem__, y)) for p, x, y in zip(pieces, a, b)), bool, len(pieces))
         la = _lists([x if v else [] for x, v in zip(a, self.valid)])
         lb = _lists([y if v else [] for y, v in zip(b, self.valid)])
         n = len(pieces)
@@ -136,12 +142,21 @@ class Aligned:
         flat_a, flat_b = pc.list_flatten(la).to_numpy(), pc.list_flatten(lb).to_numpy()
         ia, ib, group = (np.cumsum(x) - x for x in (in_a, in_b, in_a & in_b))
         self.links = flat_a[ia].astype(np.int64) * _SHIFT + flat_b[ib]
-        self.link_at = np.searchsorted(piece, np.arange(n + 1))
-        self.n_links = np.diff(self.link_at)
+        self.n_links = np.bincount(piece, minlength=n).astype(np.int64)
         self.n_a, self.n_b = np.diff(la.offsets.to_numpy()).astype(np.int64), np.diff(lb.offsets.to_numpy()).astype(np.int64)
         self.n_groups = np.bincount(piece[in_a & in_b], minlength=n).astype(np.int64)
         self.text = self._texts(n, piece, group, in_a, in_b, flat_a, flat_b)
 
+    @classmethod
+    def of(cls, pieces: list[bytes], left: Encoder, right: Encoder) -> Aligned:
+        """The same, a bounded number of pieces at a time."""
+        parts = [cls(pieces[i:i + AT_ONCE], left, right) for i in range(0, max(len(pieces), 1), AT_ONCE)]
+        out = parts[0]
+        for name in ("valid", "links", "n_links", "n_a", "n_b", "n_groups"):
+            setattr(out, name, np.concatenate([getattr(x, name) for x in parts]))
+        out.text = [t for x in parts for t in x.text]
+        return out
+
     @staticmethod
     def _texts(n, piece, group, in_a, in_b, flat_a, flat_b) -> list[bytes]:
         """``a1,a2|b1;a3|b2`` of every piece."""
@@ -199,7 +214,8 @@ class _Chunk:
         return self.size >= CHUNK_BYTES or len(self.ordinal) >= CHUNK_PIECES
 
     def row(self, name: str, left: Encoder, right: Encoder) -> pa.RecordBatch:
-        al = Aligned(list(self.ordinal), left, right)
+        al = Aligned.of(list(self.ordinal), left, right)
+        link_at = np.cumsum([0, *al.n_links])
         # a document with one piece that does not come back has no tokens at all
         docs = [d if al.valid[d].all() else d[:0] for d in self.docs]
         at = np.cumsum([0, *map(len, docs)])
@@ -215,7 +231,7 @@ class _Chunk:
         keys, counts = pairs["pair"].to_numpy(), pairs["n_sum"].to_numpy()
         return pa.RecordBatch.from_arrays([
             pa.array([name]), pa.array([self.ids], pa.list_(pa.int64())), *(pa.array([summed(x)], pa.list_(pa.int64())) for x in (al.n_a, al.n_b, al.n_groups, al.n_links)),
-            pa.array([sha], pa.list_(pa.string())), pa.array([at], pa.list_(pa.int64())), pa.array([_packed(flat)], pa.binary()), pa.array([al.link_at], pa.list_(pa.int64())),
+            pa.array([sha], pa.list_(pa.string())), pa.array([at], pa.list_(pa.int64())), pa.array([_packed(flat)], pa.binary()), pa.array([link_at], pa.list_(pa.int64())),
             pa.array([_packed(np.searchsorted(keys, al.links))], pa.binary()), pa.array([keys], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())),
         ], schema=_CHUNK)
 
