@@ -34,6 +34,8 @@ FIRST, FURTHER = 2, 4
 #: Chunks of text that a task hands on together, and words or pairs in one row of numbers.
 CHUNK_BYTES, CHUNK_WORDS, ROW = 16 << 20, 300_000, 100_000
 SLICE = 4 << 20
+#: Chunks that one task joins with a common word's pairs.
+CHUNKS_PER_SALT = 64
 #: A-Z become small letters, signs between pieces become line ends.
 _MAP = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -125,34 +127,43 @@ def _chunks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "chunk string, lang string, first long, words array<string>, counts array<bigint>, size long, n_words long, seq binary")
 
 
+def _lists(x: np.ndarray) -> pa.ListArray:
+    """Numbers as lists of bounded length."""
+    return pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(x), ROW), len(x)), pa.int32()), pa.array(x, pa.int64()))
+
+
 def _only_frequent(chunk: pa.Table, known: pa.Table) -> pa.Table:
     """The chunk in numbers of frequent words only, and its pairs of neighbours with their counts; ``known`` has ``ord, gid``."""
-    out = []
+    out = [_PAIRS.empty_table()]
     for c in chunk.to_pylist():
         to = np.full(c["n_words"] + 1, -1, np.int64)
         to[known["ord"].to_numpy()] = np.arange(known.num_rows)
         seq = to[_unpacked(c["seq"], c["size"])]
         ids, m = known["gid"].to_numpy(), max(known.num_rows, 1)
-        at = np.flatnonzero((seq[:-1] >= 0) & (seq[1:] >= 0))
-        code, n = np.unique(seq[at] * m + seq[at + 1], return_counts=True)
-        p, w = ids[code // m], ids[code % m]
-        out.append({"chunk": c["chunk"], "size": len(seq), "seq": _packed(seq), "ids": ids.tolist()})
-        out += [{"chunk": c["chunk"], "p": p[i:i + ROW].tolist(), "w": w[i:i + ROW].tolist(), "n": n[i:i + ROW].tolist()} for i in range(0, len(code), ROW)]
-    return pa.Table.from_pylist(out, schema=_PAIRS)
+        pair = seq[:-1] * m + seq[1:]
+        code, n = np.unique(pair[(seq[:-1] >= 0) & (seq[1:] >= 0)], return_counts=True)
+        lists = [_lists(x) for x in (ids[code // m], ids[code % m], n)]
+        out.append(pa.Table.from_pylist([{"chunk": c["chunk"], "size": len(seq), "seq": _packed(seq), "ids": ids}], schema=_PAIRS))
+        rest = {"chunk": pa.array([c["chunk"]] * len(lists[0]), pa.string()), **dict(zip("pwn", lists))}
+        out.append(pa.table([rest[f.name] if f.name in rest else pa.nulls(len(lists[0]), f.type) for f in _PAIRS], schema=_PAIRS))
+    return pa.concat_tables(out)
 
 
 def _only_pairs(chunk: pa.Table, known: pa.Table) -> pa.Table:
-    """The chunk in numbers of the frequent pair that starts at every word; ``known`` has ``p, w, gid``."""
+    """The chunk in numbers of the frequent pair that starts at every word; ``known`` has ``p, w, gid``, pairs that the chunk has not among them."""
     out = []
     for c in chunk.to_pylist():
         ids = np.array(c["ids"], np.int64)
         order, seq, m = np.argsort(ids), _unpacked(c["seq"], c["size"]).astype(np.int64), max(len(ids), 1)
-        p, w = (order[np.searchsorted(ids[order], known[x].to_numpy())] for x in ("p", "w"))
-        code = p * m + w
+        p, w = (_find(ids[order], known[x].to_numpy()) for x in ("p", "w"))
+        here = (p >= 0) & (w >= 0)
+        code, gid = order[p[here]] * m + order[w[here]], known["gid"].to_numpy()[here]
         by = np.argsort(code)
-        pair = np.where((seq[:-1] >= 0) & (seq[1:] >= 0), seq[:-1] * m + seq[1:], -1)
-        at = _find(code[by], pair)
-        out.append({"chunk": c["chunk"], "size": len(pair), "seq": _packed(at), "ids": known["gid"].to_numpy()[by].tolist()})
+        at = _find(code[by], np.where((seq[:-1] >= 0) & (seq[1:] >= 0), seq[:-1] * m + seq[1:], -1))
+        # only pairs that the chunk holds keep a number
+        used = np.unique(at[at >= 0])
+        at = np.where(at >= 0, np.searchsorted(used, at), -1)
+        out.append({"chunk": c["chunk"], "size": len(at), "seq": _packed(at), "ids": gid[by][used]})
     return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.string()), ("size", pa.int64()), ("seq", pa.binary()), ("ids", pa.list_(pa.int64()))]))
 
 
@@ -287,15 +298,19 @@ class Miner:
         seqs = chunks.where("words IS NULL").select("chunk", "size", "n_words", "seq")
         kind = "chunk string, size long, seq binary, ids array<bigint>, p array<bigint>, w array<bigint>, n array<bigint>"
         coded = store(seqs.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(_only_frequent, kind), "phrases-coded")
-        met = coded.where("p IS NOT NULL").select("chunk", F.explode(F.arrays_zip("p", "w", "n")).alias("x")).select("chunk", "x.*")
+        met = coded.where("p IS NOT NULL").select(F.explode(F.arrays_zip("p", "w", "n")).alias("x")).select("x.*")
         pairs = met.groupBy("p", "w").agg(F.sum("n").alias("a")).where(F.col("a") >= least).withColumn("gid", F.monotonically_increasing_id())
         left = self.words.select(F.col("gid").alias("p"), "lang", F.col("f").alias("fx"), F.col("word").alias("x"))
         right = self.words.select(F.col("gid").alias("w"), F.col("f").alias("fy"), F.col("word").alias("y"))
         pairs = store(pairs, "phrases-pair-counts").join(left, "p").join(right, "w")
         best = _lowest([(F.col("fx"), F.col("fy"))], F.col("a"))
         self.pairs = store(pairs.withColumn("best", best).select("*", "best.score", F.col("best.l").alias("l"), F.col("best.r").alias("r")).drop("best"), "phrases-pairs")
-        known = met.join(self.pairs.select("p", "w", "gid"), ["p", "w"]).select(F.col("chunk").alias("of_chunk"), "p", "w", "gid")
         coded = coded.where("ids IS NOT NULL").select("chunk", "size", "seq", "ids")
+        # a chunk gets the pairs whose first word it has; a common word's pairs are dealt to several tasks
+        salts = max(1, coded.count() // CHUNKS_PER_SALT)
+        held = coded.select(F.col("chunk").alias("of_chunk"), F.explode("ids").alias("p"), F.pmod(F.xxhash64("chunk"), F.lit(salts)).alias("salt"))
+        dealt = self.pairs.select("p", "w", "gid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+        known = held.join(dealt, ["p", "salt"]).select("of_chunk", "p", "w", "gid")
         self.state = store(coded.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(_only_pairs, _STATE), "phrases-state")
 
     def cuts(self, langs: DataFrame, rank: int) -> DataFrame:
