@@ -133,13 +133,15 @@ def diversity_filter(df: DataFrame, *, id: str, **kw) -> DataFrame:
 
 
 def first_fit(df: DataFrame, *, id: str, feat, threshold: float, order=None, group=None, gate=None,
-              block: int = BLOCK) -> DataFrame:
+              block: int = BLOCK, metric=None) -> DataFrame:
     """First-fit clustering: every row joins the earliest representative within the threshold.
 
-    Returns ``id, rep_id``; rows with undefined features represent themselves.
+    Returns ``id, rep_id``; rows with undefined features represent themselves. ``metric`` (a
+    :class:`~sievelark.operators.metric.Metric`) replaces feature L2.
     """
     rows = prepared(df, id, feat, order, group)
-    reps = settle(keep_first(rows, threshold, strict=False, gate=gate, block=block))
-    hit = first_partner(rows, reps, threshold, strict=False, gate=gate, block=block)
+    by = {} if metric is None else {"dims": metric.lead, "extra": metric.within(threshold)}
+    reps = settle(keep_first(rows, threshold, strict=False, gate=gate, block=block, **by))
+    hit = first_partner(rows, reps, threshold, strict=False, gate=gate, block=block, **by)
     return (rows.select("_id").join(hit, "_id", "left")
             .select(F.col("_id").alias(id), F.coalesce("_rep", "_id").alias("rep_id")))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from sievelark.functions.exprs import (col, covalent_radius, distance3, safe_ratio, short_sha1, sym3_eigenvalues, symbol_of, wrap_delta,
                                        wrapped_distance3)
 from sievelark.functions.fixed import COVALENT_RADII
+from sievelark.operators.lattice import lattice_distance, reduced_lattice
 
 FEW = 512  # frames up to this size are joined without a grid
 ATOM = ["frame", "atom", "is_ads", "z", "px", "py", "pz"]
@@ -87,10 +88,10 @@ def wrap_atoms(atoms: DataFrame, lattice: DataFrame) -> DataFrame:
     """Atoms moved into their frame's cell along its periodic axes; frames without a lattice stay.
 
     ``lattice``: ``frame, cell`` (three vectors) ``, pbc`` (three booleans); any cell of non-zero
-    volume, skewed or not, one per frame. Adds ``_cell, _pbc, _high`` (distance between opposite
+    volume, skewed or not, one per frame; it is reduced first, so few images suffice. Adds ``_cell, _pbc, _high`` (distance between opposite
     faces), which :func:`with_images` uses.
     """
-    l = lattice.select("frame", F.col("cell").alias("_cell"), F.col("pbc").alias("_pbc"))
+    l = reduced_lattice(lattice).select("frame", F.col("cell").alias("_cell"), F.col("pbc").alias("_pbc"))
     c = [F.col("_cell")[i] for i in range(3)]
     faces = [_cross(c[1], c[2]), _cross(c[2], c[0]), _cross(c[0], c[1])]
     volume = _dot(c[0], faces[0])
@@ -155,10 +156,10 @@ def binding_pairs(atoms: DataFrame, tau: float = 1.15, *, ignore_h: bool = True,
                     F.col("b_z").alias("z_surf"), "d")
 
 
-def surface_graph(atoms: DataFrame, surface: DataFrame, *, scale: float = 1.2, cell=None) -> DataFrame:
-    """Edges between surface atoms closer than ``scale`` times the sum of their radii."""
+def surface_graph(atoms: DataFrame, surface: DataFrame, *, scale: float = 1.2, cell=None, lattice: DataFrame | None = None) -> DataFrame:
+    """Edges between surface atoms closer than ``scale`` times the sum of their radii; ``lattice`` gives every frame its own cell."""
     s = atoms.join(surface.select("frame", "atom"), ["frame", "atom"], "left_semi").select("frame", "atom", "z", "px", "py", "pz")
-    p = atoms_within(s, s, scale * _radii_sum(), max_cutoff=scale * WIDEST, cell=cell, extra=F.col("a_atom") < F.col("b_atom"))
+    p = _contacts(s, s, scale * _radii_sum(), max_cutoff=scale * WIDEST, cell=cell, extra=F.col("a_atom") < F.col("b_atom"), lattice=lattice)
     return p.select("frame", F.col("a_atom").alias("src"), F.col("b_atom").alias("dst"), "d")
 
 
@@ -166,7 +167,7 @@ def min_contact_ratio(atoms: DataFrame, tau: float = 1.5, lattice: DataFrame | N
     """Per frame the smallest ``d / (ra + rs)`` over all adsorbate-slab pairs.
 
     A near pass settles every frame whose best ratio cannot be beaten from outside its
-    search radius; only the rest compare all pairs, as a streaming minimum.
+    search radius; only the rest compare all pairs (nearest images in a ``lattice``), as a streaming minimum.
     """
     cols = ["frame", "atom", "z", "px", "py", "pz"]
     ads, slab = atoms.where("is_ads").select(*cols), atoms.where("not is_ads").select(*cols)
@@ -175,19 +176,16 @@ def min_contact_ratio(atoms: DataFrame, tau: float = 1.5, lattice: DataFrame | N
     near = (_contacts(ads, slab, reach, max_cutoff=reach, lattice=lattice).select("frame", ratio)
             .groupBy("frame").agg(F.min("r").alias("min_ratio")).where(F.col("min_ratio") <= tau))
     rest = atoms.select("frame").distinct().join(near, "frame", "left_anti")
-    if lattice is not None:  # far frames: two cells around are enough for the nearest image
-        ads, slab = wrap_atoms(ads, lattice).drop("_cell", "_pbc", "_high"), with_images(wrap_atoms(slab, lattice).withColumn("_high", F.array(*[F.lit(1.0)] * 3)), 1.0)
     la = ads.join(rest, "frame", "left_semi").select("frame", *[F.col(c).alias(f"a_{c}") for c in cols[1:]])
     rb = slab.join(rest, "frame", "left_semi").select("frame", *[F.col(c).alias(f"b_{c}") for c in cols[1:]])
-    far = (la.join(rb, "frame").withColumn("d", distance3("a_px", "a_py", "a_pz", "b_px", "b_py", "b_pz"))
-           .select("frame", ratio).groupBy("frame").agg(F.min("r").alias("min_ratio")))
+    far = lattice_distance(la.join(rb, "frame"), lattice).select("frame", ratio).groupBy("frame").agg(F.min("r").alias("min_ratio"))
     return near.unionByName(far)
 
 
-def nearest_atoms(a: DataFrame, b: DataFrame, k: int, *, skip_self: bool = False, start: float = 4.0) -> DataFrame:
+def nearest_atoms(a: DataFrame, b: DataFrame, k: int, *, skip_self: bool = False, start: float = 4.0, lattice: DataFrame | None = None) -> DataFrame:
     """The ``k`` nearest ``b`` atoms of every ``a`` atom in its frame: ``frame, atom, other, d, rank``.
 
-    The search radius doubles for atoms that have not found ``k`` neighbours yet; the last
+    With a ``lattice`` an atom stands at its nearest image and is counted once. The search radius doubles for atoms that have not found ``k`` neighbours yet; the last
     round joins what is left without a radius.
     """
     from sievelark.session import settle
@@ -210,7 +208,7 @@ def nearest_atoms(a: DataFrame, b: DataFrame, k: int, *, skip_self: bool = False
         span = b.join(big, "frame", "left_semi").agg(*[(F.max(c) - F.min(c)) for c in ("px", "py", "pz")]).first()
         limit = math.sqrt(sum(float(v) ** 2 for v in span))
         while radius < limit:
-            hit = settle(ranked(atoms_within(rest, b, radius, max_cutoff=radius, extra=extra)))
+            hit = settle(ranked(_contacts(rest, b, radius, max_cutoff=radius, extra=extra, lattice=lattice)))
             full = hit.groupBy("frame", "atom").agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= k).select("frame", "atom")
             part = hit.join(full, ["frame", "atom"], "left_semi")
             out = part if out is None else out.unionByName(part)
@@ -221,7 +219,7 @@ def nearest_atoms(a: DataFrame, b: DataFrame, k: int, *, skip_self: bool = False
     rb = b.select("frame", *[F.col(c).alias(f"b_{c}") for c in cols[1:]])
     j = la.join(rb, "frame")
     j = j.where(extra) if extra is not None else j
-    small = ranked(j.withColumn("d", distance3("a_px", "a_py", "a_pz", "b_px", "b_py", "b_pz")))
+    small = ranked(lattice_distance(j, lattice))
     return small if out is None else out.unionByName(small)
 
 
@@ -245,9 +243,9 @@ def descriptor_atoms(atoms: DataFrame, pairs: DataFrame, mode: str = "binding_on
 
 
 def surface_descriptor(atoms: DataFrame, pairs: DataFrame, *, k: int = 8, mode: str = "binding_only",
-                       relative: bool = False) -> DataFrame:
+                       relative: bool = False, lattice: DataFrame | None = None) -> DataFrame:
     """Sorted distances to the ``k`` nearest slab atoms: one row ``frame, atom, rank, d``."""
-    n = nearest_atoms(descriptor_atoms(atoms, pairs, mode), atoms.where("not is_ads"), k)
+    n = nearest_atoms(descriptor_atoms(atoms, pairs, mode), atoms.where("not is_ads"), k, lattice=lattice)
     if relative:
         w = Window.partitionBy("frame", "atom")
         n = n.withColumn("d", F.col("d") - F.min("d").over(w))
@@ -381,8 +379,8 @@ def assignment(cost: np.ndarray) -> np.ndarray:
 
 
 def class_rmsd(a: np.ndarray, b: np.ndarray, classes: list[int], exact: int = 256) -> float:
-    """RMSD minimised over permutations inside atom classes: all of them when there are few,
-    otherwise alternating alignment and assignment."""
+    """RMSD minimised over permutations inside atom classes: all of them up to ``exact`` permutations,
+    beyond that the best of three rounds of alignment and assignment, which may miss the minimum."""
     groups = [[i for i, c in enumerate(classes) if c == k] for k in sorted(set(classes))]
     if math.prod(math.factorial(len(g)) for g in groups) <= exact:
         best = math.inf
@@ -400,7 +398,7 @@ def class_rmsd(a: np.ndarray, b: np.ndarray, classes: list[int], exact: int = 25
         fix = np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ vt))])
         moved = q @ (u @ fix @ vt)
         for g in groups:
-            order[g] = np.array(g)[assignment(((p[g][:, None] - moved[g][None]) ** 2).sum(2))]
+            order[g] = np.array(g)[assignment(np.sqrt(((p[g][:, None] - moved[g][None]) ** 2).sum(2)))]
         best = min(best, plain_rmsd(a, b[order]))
     return best
 
@@ -511,11 +509,11 @@ def pattern_signature(pairs: DataFrame) -> DataFrame:
     return t.select("frame", short_sha1(F.col("_t")).alias("signature"))
 
 
-def environment_text(slab: DataFrame, *, k: int = 6) -> DataFrame:
+def environment_text(slab: DataFrame, *, k: int = 6, lattice: DataFrame | None = None) -> DataFrame:
     """``Z|d1,..,dk`` per slab atom: element and distances to its nearest slab atoms (3 decimals)."""
     from sievelark.functions.exprs import fixed_decimals
 
-    n = nearest_atoms(slab, slab, k, skip_self=True).where("d > 1e-8").withColumn("_d", fixed_decimals("d", 3))
+    n = nearest_atoms(slab, slab, k, skip_self=True, lattice=lattice).where("d > 1e-8").withColumn("_d", fixed_decimals("d", 3))
     t = joined_text(n, ["frame", "atom"], ["rank"], F.col("_d"), ",", "_t")
     alone = slab.groupBy("frame").agg((F.count(F.lit(1)) <= 1).alias("_one"))
     env = F.when(F.col("_one"), F.concat(F.lit("s"), F.col("atom").cast("string"))).otherwise(
@@ -530,7 +528,7 @@ def canonical_signature(pairs: DataFrame, env: DataFrame) -> DataFrame:
     return t.select("frame", short_sha1(F.col("_t")).alias("signature"))
 
 
-def surface_keys(pairs: DataFrame, env: DataFrame, slab: DataFrame) -> DataFrame:
+def surface_keys(pairs: DataFrame, env: DataFrame, slab: DataFrame, lattice: DataFrame | None = None) -> DataFrame:
     """``surface_env_key`` (16 characters) and ``surface_geometry_key`` (20) of each frame with contacts."""
     from sievelark.functions.exprs import fixed_decimals
 
@@ -540,7 +538,7 @@ def surface_keys(pairs: DataFrame, env: DataFrame, slab: DataFrame) -> DataFrame
     site = pairs.select("frame", F.col("surf").alias("atom")).distinct().join(slab.select("frame", "atom", "px", "py", "pz"), ["frame", "atom"])
     a = site.select("frame", *[F.col(c).alias(f"a_{c}") for c in ("atom", "px", "py", "pz")])
     b = site.select("frame", *[F.col(c).alias(f"b_{c}") for c in ("atom", "px", "py", "pz")])
-    peer = a.join(b, "frame").where("a_atom <> b_atom").withColumn("d", distance3("a_px", "a_py", "a_pz", "b_px", "b_py", "b_pz"))
+    peer = lattice_distance(a.join(b, "frame").where("a_atom <> b_atom"), lattice)
     peer = peer.withColumn("_s", fixed_decimals("d", 3))
     per = joined_text(peer, ["frame", "a_atom"], ["d"], F.col("_s"), ",", "_peer").withColumnRenamed("a_atom", "surf")
     both = joined_text(peer.where("a_atom < b_atom"), ["frame"], ["d"], F.col("_s"), ",", "_g")

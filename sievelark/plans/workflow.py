@@ -11,6 +11,7 @@ from sievelark.functions.plugins import pair_distances, relax
 from sievelark.operators import graph as G
 from sievelark.operators import structure as S
 from sievelark.operators.cluster import cluster_basins, merge_representatives, merged_basins, numbered_basins, with_clusters
+from sievelark.operators.lattice import PACKED, nearest_image, packed_lattice
 from sievelark.operators.select import Farthest, basin_window, candidate_filter, stage_select, target_k
 from sievelark.plans.presets import Schedule, make_schedule
 from sievelark.session import settle
@@ -25,27 +26,31 @@ class Result:
     stages: DataFrame
 
 
-def surface_distances(frames: DataFrame, name: str = "features") -> DataFrame:
-    """Selection features of a frame row: per adsorbate atom its sorted distances to the slab atoms."""
+def surface_distances(frames: DataFrame, name: str = "features", lattice: DataFrame | None = None) -> DataFrame:
+    """Selection features of a frame row: per adsorbate atom its sorted distances to the slab atoms, nearest images in a ``lattice``."""
     p, n = F.col("positions"), F.col("slab_n")
     slab, ads = F.slice(p, 1, n), F.slice(p, n + 1, F.size(p) - n)
-    dist = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
-    return frames.withColumn(name, F.flatten(F.transform(ads, lambda a: F.array_sort(F.transform(slab, lambda b: dist(a, b))))))
+    if lattice is None:
+        dist = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+    else:
+        dist = lambda a, b: nearest_image(*(a[i] - b[i] for i in range(3)))["d"]
+        frames = frames.join(packed_lattice(lattice).withColumnRenamed("frame", "frame_id"), "frame_id", "left")
+    return frames.withColumn(name, F.flatten(F.transform(ads, lambda a: F.array_sort(F.transform(slab, lambda b: dist(a, b)))))).drop(PACKED)
 
 
 def run_workflow(frames: DataFrame, *, schedule: str | Schedule = "multistage_default", relax_backend="identity", tau: float = 1.15, delta: float = 1.0,
                  basin_threshold: float = 0.10, method: str = "greedy", merge_threshold: float | None = None, reference: DataFrame | None = None, lattice: DataFrame | None = None) -> Result:
     """From pose frames to basins and nodes.
 
-    ``lattice`` (``frame, cell, pbc``) gives frames periodic cells for contacts and bonds.
+    ``lattice`` (``frame, cell, pbc``) gives frames periodic cells, for every distance of every stage.
 
     ``frames``: ``frame_id, numbers, positions, slab_n, energy``. Every row keeps its
     ``frame_id`` through all stages, so members always point at the right input.
     """
     sch = make_schedule(schedule) if isinstance(schedule, str) else schedule
-    pool = settle(surface_distances(frames))
+    pool = settle(surface_distances(frames, lattice=lattice))
     picked = pool if sch.exhaustive else stage_select(pool, sch.before, id="frame_id", feat="features")
-    relaxed = settle(surface_distances(relax(picked.drop("features"), relax_backend)))
+    relaxed = settle(surface_distances(relax(picked.drop("features"), relax_backend), lattice=lattice))
     atoms = settle(S.explode_frames(relaxed))
     ref = settle(S.explode_frames((reference if reference is not None else frames).join(relaxed.select("frame_id"), "frame_id", "left_semi")))
     marked = S.classify_frames(atoms, ref, tau=tau, lattice=lattice).select(F.col("frame").alias("frame_id"), F.col("reason").alias("anomaly"))
@@ -65,7 +70,7 @@ def run_workflow(frames: DataFrame, *, schedule: str | Schedule = "multistage_de
         merged = settle(merge_representatives(reps, members, id="basin_id", energy="energy", feat="features", threshold=merge_threshold, member_key="frame_id"))
         b, members = merged_basins(b, merged)
         b, members = settle(b), settle(members)
-    nodes = node_table(atoms.join(b.select(F.col("rep_id").alias("frame")), "frame", "left_semi"), pairs)
+    nodes = node_table(atoms.join(b.select(F.col("rep_id").alias("frame")), "frame", "left_semi"), pairs, lattice)
     low = b.groupBy().agg(F.min("energy").alias("m")).select("m").scalar()
     nodes = b.join(nodes, b["rep_id"] == nodes["frame"], "left").withColumn("relative_energy", F.col("energy") - low).drop("frame")
     stage = lambda df, n, name: df.select(F.lit(n).alias("stage_no"), F.lit(name).alias("stage")).groupBy("stage_no", "stage").agg(F.count(F.lit(1)).alias("n"))
@@ -74,11 +79,11 @@ def run_workflow(frames: DataFrame, *, schedule: str | Schedule = "multistage_de
     return Result(b, members, rejected, nodes, stages)
 
 
-def node_table(atoms: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``frame, node_id, denticity`` of the given frames."""
+def node_table(atoms: DataFrame, pairs: DataFrame, lattice: DataFrame | None = None) -> DataFrame:
+    """``frame, node_id, denticity`` of the given frames; bonds cross the borders of a ``lattice``."""
     v = lambda c: F.xxhash64("frame", c)
     ads = settle(atoms.where("is_ads").select("frame", v("atom").alias("v"), "z", "atom"))
-    bonds = S.bonds(atoms).select(v("i").alias("src"), v("j").alias("dst"))
+    bonds = S.bonds(atoms, lattice=lattice).select(v("i").alias("src"), v("j").alias("dst"))
     order = settle(G.canonical_order(ads.drop("atom"), settle(bonds)))
     p = pairs.join(atoms.select("frame").distinct(), "frame", "left_semi")
     ids = G.node_ids(order, bonds, p.select(v("ads").alias("v"), "surf"))
