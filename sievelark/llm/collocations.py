@@ -32,10 +32,8 @@ ABSORB = 4
 #: Pairs above the first cut, as a multiple of the limit, and by how much a round multiplies them; this changes costs only.
 FIRST, FURTHER = 2, 4
 #: Chunks of text that a task hands on together, and words or pairs in one row of numbers.
-CHUNK_BYTES, CHUNK_WORDS, ROW = 16 << 20, 300_000, 100_000
+CHUNK_BYTES, CHUNK_WORDS, ROW = 12 << 20, 200_000, 100_000
 SLICE = 4 << 20
-#: Chunks that one task joins with a common word's pairs.
-CHUNKS_PER_SALT = 64
 #: A-Z become small letters, signs between pieces become line ends.
 _MAP = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -84,7 +82,7 @@ class _Chunk:
     def full(self) -> bool:
         return self.size >= CHUNK_BYTES or sum(map(len, self.numbers.values())) >= CHUNK_WORDS
 
-    def rows(self, name: str) -> Iterator[dict]:
+    def rows(self, name: int) -> Iterator[dict]:
         """First a row with the numbers of all languages, then rows of bounded length with their words and counts."""
         start, seqs, spelled = 0, [], []
         for lang, number in self.numbers.items():
@@ -100,9 +98,9 @@ class _Chunk:
         yield from spelled
 
 
-_CHUNK = pa.schema([("chunk", pa.string()), ("lang", pa.string()), ("first", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("size", pa.int64()), ("n_words", pa.int64()), ("seq", pa.binary())])
-_PAIRS = pa.schema([("chunk", pa.string()), ("size", pa.int64()), ("seq", pa.binary()), ("ids", pa.list_(pa.int64())), ("p", pa.list_(pa.int64())), ("w", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
-_STATE = "chunk string, size long, seq binary, ids array<bigint>"
+_CHUNK = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("first", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("size", pa.int64()), ("n_words", pa.int64()), ("seq", pa.binary())])
+_PAIRS = pa.schema([("chunk", pa.int64()), ("size", pa.int64()), ("seq", pa.binary()), ("ids", pa.list_(pa.int64())), ("p", pa.list_(pa.int64())), ("w", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+_STATE = "chunk long, size long, seq binary, ids array<bigint>"
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -110,7 +108,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
         part, made, chunk = TaskContext.get().partitionId(), 0, _Chunk()
 
         def handed() -> Iterator[pa.RecordBatch]:
-            for row in chunk.rows(f"{part}-{made}"):
+            for row in chunk.rows((part << 32) + made):
                 yield pa.RecordBatch.from_pylist([row], schema=_CHUNK)
 
         for batch in batches:
@@ -124,7 +122,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
         if chunk.parts:
             yield from handed()
 
-    return docs.mapInArrow(run, "chunk string, lang string, first long, words array<string>, counts array<bigint>, size long, n_words long, seq binary")
+    return docs.mapInArrow(run, "chunk long, lang string, first long, words array<string>, counts array<bigint>, size long, n_words long, seq binary")
 
 
 def _lists(x: np.ndarray) -> pa.ListArray:
@@ -144,27 +142,23 @@ def _only_frequent(chunk: pa.Table, known: pa.Table) -> pa.Table:
         code, n = np.unique(pair[(seq[:-1] >= 0) & (seq[1:] >= 0)], return_counts=True)
         lists = [_lists(x) for x in (ids[code // m], ids[code % m], n)]
         out.append(pa.Table.from_pylist([{"chunk": c["chunk"], "size": len(seq), "seq": _packed(seq), "ids": ids}], schema=_PAIRS))
-        rest = {"chunk": pa.array([c["chunk"]] * len(lists[0]), pa.string()), **dict(zip("pwn", lists))}
+        rest = {"chunk": pa.array([c["chunk"]] * len(lists[0]), pa.int64()), **dict(zip("pwn", lists))}
         out.append(pa.table([rest[f.name] if f.name in rest else pa.nulls(len(lists[0]), f.type) for f in _PAIRS], schema=_PAIRS))
     return pa.concat_tables(out)
 
 
 def _only_pairs(chunk: pa.Table, known: pa.Table) -> pa.Table:
-    """The chunk in numbers of the frequent pair that starts at every word; ``known`` has ``p, w, gid``, pairs that the chunk has not among them."""
+    """The chunk in numbers of the frequent pair that starts at every word; ``known`` has ``p, w, gid``."""
     out = []
     for c in chunk.to_pylist():
         ids = np.array(c["ids"], np.int64)
         order, seq, m = np.argsort(ids), _unpacked(c["seq"], c["size"]).astype(np.int64), max(len(ids), 1)
-        p, w = (_find(ids[order], known[x].to_numpy()) for x in ("p", "w"))
-        here = (p >= 0) & (w >= 0)
-        code, gid = order[p[here]] * m + order[w[here]], known["gid"].to_numpy()[here]
+        p, w = (order[np.searchsorted(ids[order], known[x].to_numpy())] for x in ("p", "w"))
+        code = p * m + w
         by = np.argsort(code)
         at = _find(code[by], np.where((seq[:-1] >= 0) & (seq[1:] >= 0), seq[:-1] * m + seq[1:], -1))
-        # only pairs that the chunk holds keep a number
-        used = np.unique(at[at >= 0])
-        at = np.where(at >= 0, np.searchsorted(used, at), -1)
-        out.append({"chunk": c["chunk"], "size": len(at), "seq": _packed(at), "ids": gid[by][used]})
-    return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.string()), ("size", pa.int64()), ("seq", pa.binary()), ("ids", pa.list_(pa.int64()))]))
+        out.append({"chunk": c["chunk"], "size": len(at), "seq": _packed(at), "ids": known["gid"].to_numpy()[by]})
+    return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.int64()), ("size", pa.int64()), ("seq", pa.binary()), ("ids", pa.list_(pa.int64()))]))
 
 
 def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -296,21 +290,20 @@ class Miner:
         self.words = store(counts.where(F.col("f") >= least).withColumn("gid", F.monotonically_increasing_id()), "phrases-words")
         known = seen.join(self.words.select("lang", "word", "gid"), ["lang", "word"]).select(F.col("chunk").alias("of_chunk"), "ord", "gid")
         seqs = chunks.where("words IS NULL").select("chunk", "size", "n_words", "seq")
-        kind = "chunk string, size long, seq binary, ids array<bigint>, p array<bigint>, w array<bigint>, n array<bigint>"
+        kind = "chunk long, size long, seq binary, ids array<bigint>, p array<bigint>, w array<bigint>, n array<bigint>"
         coded = store(seqs.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(_only_frequent, kind), "phrases-coded")
-        met = coded.where("p IS NOT NULL").select(F.explode(F.arrays_zip("p", "w", "n")).alias("x")).select("x.*")
-        pairs = met.groupBy("p", "w").agg(F.sum("n").alias("a")).where(F.col("a") >= least).withColumn("gid", F.monotonically_increasing_id())
+        # one shuffle brings the chunks' counts of a pair together: its total goes on with every chunk that holds it
+        met = coded.where("p IS NOT NULL").select("chunk", F.explode(F.arrays_zip("p", "w", "n")).alias("x")).select("chunk", "x.*")
+        total = F.sum("n").over(Window.partitionBy("p", "w"))
+        met = store(met.withColumn("a", total).where(F.col("a") >= least).select("chunk", "p", "w", "a"), "phrases-met")
+        pairs = met.select("p", "w", "a").distinct().withColumn("gid", F.monotonically_increasing_id())
         left = self.words.select(F.col("gid").alias("p"), "lang", F.col("f").alias("fx"), F.col("word").alias("x"))
         right = self.words.select(F.col("gid").alias("w"), F.col("f").alias("fy"), F.col("word").alias("y"))
         pairs = store(pairs, "phrases-pair-counts").join(left, "p").join(right, "w")
         best = _lowest([(F.col("fx"), F.col("fy"))], F.col("a"))
         self.pairs = store(pairs.withColumn("best", best).select("*", "best.score", F.col("best.l").alias("l"), F.col("best.r").alias("r")).drop("best"), "phrases-pairs")
         coded = coded.where("ids IS NOT NULL").select("chunk", "size", "seq", "ids")
-        # a chunk gets the pairs whose first word it has; a common word's pairs are dealt to several tasks
-        salts = max(1, coded.count() // CHUNKS_PER_SALT)
-        held = coded.select(F.col("chunk").alias("of_chunk"), F.explode("ids").alias("p"), F.pmod(F.xxhash64("chunk"), F.lit(salts)).alias("salt"))
-        dealt = self.pairs.select("p", "w", "gid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-        known = held.join(dealt, ["p", "salt"]).select("of_chunk", "p", "w", "gid")
+        known = met.join(self.pairs.select("p", "w", "gid"), ["p", "w"]).select(F.col("chunk").alias("of_chunk"), "p", "w", "gid")
         self.state = store(coded.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(_only_pairs, _STATE), "phrases-state")
 
     def cuts(self, langs: DataFrame, rank: int) -> DataFrame:
@@ -381,7 +374,7 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
             break
         rank *= FURTHER
     at = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase")))
-    best = reduce(DataFrame.union, done).withColumn("rank", at.cast("long")).where(F.col("rank") <= limit)
+    best = reduce(DataFrame.union, done).withColumn("rank", at).where(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("long"))
     return best.join(miner.size, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
