@@ -21,3 +21,6 @@ ATOMIC_NUMBER = {s: i + 1 for i, s in enumerate(SYMBOLS)}
 
 # fixed value: energy conversion of the force-field source
 KCAL_PER_MOL_IN_EV = 0.0433641153
+
+# fixed values: Pauling electronegativities by atomic number
+ELECTRONEGATIVITY = {1: 2.20, 5: 2.04, 6: 2.55, 7: 3.04, 8: 3.44, 9: 3.98, 14: 1.90, 15: 2.19, 16: 2.58, 17: 3.16, 35: 2.96, 53: 2.66}

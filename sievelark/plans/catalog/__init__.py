@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("selection", "clusters", "joins", "aggregates", "scans", "texts", "graphs", "structures", "surfaces", "poses", "lattices", "metrics")
+MODULES = ("selection", "clusters", "joins", "aggregates", "scans", "texts", "graphs", "structures", "surfaces", "poses", "lattices", "metrics", "orientations")
 
 
 def load() -> None:
