@@ -1,8 +1,7 @@
 """Phrase collocations of every language by best-first growth with admissible bounds.
 
-Texts are kept as chunks of numbered words, later of numbered frequent pairs. Pairs of frequent
-words are counted outright: a single word bounds nothing. Longer phrases grow best first. A
-prefix ``p`` with count ``a`` bounds every phrase that it starts: none scores above
+Texts are kept as chunks of numbered frequent words. Pairs of frequent words are counted
+outright: a single word bounds nothing. Longer phrases grow best first. A prefix ``p`` with count ``a`` bounds every phrase that it starts: none scores above
 ``2000000 a / (l + a)`` for the count ``l`` of any part that starts ``p``, since a phrase's count
 and that of its rest are linked that way. In a round, a language has a cut: prefixes bounded
 below it stay shut, the others are grown, and phrases that score at the cut or above are probed
@@ -13,7 +12,8 @@ cut until the language has ``limit`` of them (ties at the last place are among t
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cached_property, reduce
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,10 @@ FIRST, FURTHER = 2, 4
 #: Chunks of text that a task hands on together, and words or pairs in one row of numbers.
 CHUNK_BYTES, CHUNK_WORDS, ROW = 12 << 20, 200_000, 100_000
 SLICE = 4 << 20
+#: Pieces that are added to a chunk at a time, and words of a chunk up to which three numbers fit into one.
+PIECES, DIRECT = 20_000, 2_000_000
+#: Chunks that one task joins with a common word's pairs.
+CHUNKS_PER_SALT = 64
 #: A-Z become small letters, signs between pieces become line ends.
 _MAP = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -70,14 +74,14 @@ class _Chunk:
         self.parts: dict[str, list[np.ndarray]] = {}
         self.size = 0
 
-    def add(self, lang: str, text: bytes | None) -> None:
+    def add(self, lang: str, found: tuple[list[bytes], ...]) -> None:
         number = self.numbers.setdefault(lang, _Numbers())
         out, get = [], number.__getitem__
-        for words in pieces(text):
+        for words in found:
             out += map(get, words)
             out.append(-1)
         self.parts.setdefault(lang, []).append(np.array(out, np.int32))
-        self.size += len(text) if text else 0
+        self.size += 6 * len(out)
 
     def full(self) -> bool:
         return self.size >= CHUNK_BYTES or sum(map(len, self.numbers.values())) >= CHUNK_WORDS
@@ -99,8 +103,8 @@ class _Chunk:
 
 
 _CHUNK = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("first", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("size", pa.int64()), ("n_words", pa.int64()), ("seq", pa.binary())])
-_PAIRS = pa.schema([("chunk", pa.int64()), ("size", pa.int64()), ("seq", pa.binary()), ("ids", pa.list_(pa.int64())), ("p", pa.list_(pa.int64())), ("w", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
-_STATE = "chunk long, size long, seq binary, ids array<bigint>"
+_CODED = pa.schema([("chunk", pa.int64()), ("size", pa.int64()), ("seq", pa.binary()), ("ids", pa.list_(pa.int64()))])
+_RUNS = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("z", pa.int64()), ("w", pa.int64()), ("n", pa.int64())])
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -115,50 +119,25 @@ def _chunks(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
                 for lang, text in zip(piece.column(0).to_pylist(), raw_texts(piece)):
-                    chunk.add(lang, text)
-                    if chunk.full():
-                        yield from handed()
-                        made, chunk = made + 1, _Chunk()
+                    for found in batched(pieces(text), PIECES):
+                        chunk.add(lang, found)
+                        if chunk.full():
+                            yield from handed()
+                            made, chunk = made + 1, _Chunk()
         if chunk.parts:
             yield from handed()
 
     return docs.mapInArrow(run, "chunk long, lang string, first long, words array<string>, counts array<bigint>, size long, n_words long, seq binary")
 
 
-def _lists(x: np.ndarray) -> pa.ListArray:
-    """Numbers as lists of bounded length."""
-    return pa.ListArray.from_arrays(pa.array(np.append(np.arange(0, len(x), ROW), len(x)), pa.int32()), pa.array(x, pa.int64()))
-
-
 def _only_frequent(chunk: pa.Table, known: pa.Table) -> pa.Table:
-    """The chunk in numbers of frequent words only, and its pairs of neighbours with their counts; ``known`` has ``ord, gid``."""
-    out = [_PAIRS.empty_table()]
+    """The chunk in numbers of frequent words only; ``known`` has ``ord, gid``."""
+    out = []
     for c in chunk.to_pylist():
         to = np.full(c["n_words"] + 1, -1, np.int64)
         to[known["ord"].to_numpy()] = np.arange(known.num_rows)
-        seq = to[_unpacked(c["seq"], c["size"])]
-        ids, m = known["gid"].to_numpy(), max(known.num_rows, 1)
-        pair = seq[:-1] * m + seq[1:]
-        code, n = np.unique(pair[(seq[:-1] >= 0) & (seq[1:] >= 0)], return_counts=True)
-        lists = [_lists(x) for x in (ids[code // m], ids[code % m], n)]
-        out.append(pa.Table.from_pylist([{"chunk": c["chunk"], "size": len(seq), "seq": _packed(seq), "ids": ids}], schema=_PAIRS))
-        rest = {"chunk": pa.array([c["chunk"]] * len(lists[0]), pa.int64()), **dict(zip("pwn", lists))}
-        out.append(pa.table([rest[f.name] if f.name in rest else pa.nulls(len(lists[0]), f.type) for f in _PAIRS], schema=_PAIRS))
-    return pa.concat_tables(out)
-
-
-def _only_pairs(chunk: pa.Table, known: pa.Table) -> pa.Table:
-    """The chunk in numbers of the frequent pair that starts at every word; ``known`` has ``p, w, gid``."""
-    out = []
-    for c in chunk.to_pylist():
-        ids = np.array(c["ids"], np.int64)
-        order, seq, m = np.argsort(ids), _unpacked(c["seq"], c["size"]).astype(np.int64), max(len(ids), 1)
-        p, w = (order[np.searchsorted(ids[order], known[x].to_numpy())] for x in ("p", "w"))
-        code = p * m + w
-        by = np.argsort(code)
-        at = _find(code[by], np.where((seq[:-1] >= 0) & (seq[1:] >= 0), seq[:-1] * m + seq[1:], -1))
-        out.append({"chunk": c["chunk"], "size": len(at), "seq": _packed(at), "ids": known["gid"].to_numpy()[by]})
-    return pa.Table.from_pylist(out, schema=pa.schema([("chunk", pa.int64()), ("size", pa.int64()), ("seq", pa.binary()), ("ids", pa.list_(pa.int64()))]))
+        out.append({"chunk": c["chunk"], "size": c["size"], "seq": _packed(to[_unpacked(c["seq"], c["size"])]), "ids": known["gid"].to_numpy()})
+    return pa.Table.from_pylist(out, schema=_CODED)
 
 
 def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -169,88 +148,105 @@ def _find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == x, at, -1)
 
 
-class _Pairs:
-    """A chunk in pair numbers, and what is asked about its pairs or triples."""
+class _Words:
+    """A chunk in numbers of frequent words."""
 
-    def __init__(self, c: dict, asked: pa.Table) -> None:
+    def __init__(self, c: dict) -> None:
         self.ids = np.array(c["ids"], np.int64)
         self.seq = _unpacked(c["seq"], c["size"]).astype(np.int64)
         self.m = max(len(self.ids), 1)
         self.order = np.argsort(self.ids)
-        self.asked = asked
-
-    def local(self, name: str) -> np.ndarray:
-        return self.order[np.maximum(_find(self.ids[self.order], self.asked[name].to_numpy()), 0)] if len(self.ids) else np.zeros(self.asked.num_rows, np.int64)
-
-    def flags(self, places: np.ndarray, name: str) -> np.ndarray:
-        """The flag of the asked row at every place, False at -1."""
-        return np.append(self.asked[name].to_numpy(zero_copy_only=False).astype(bool), False)[places]
-
-    def triples(self) -> np.ndarray:
-        """The place of the asked triple that starts at every word."""
-        u, v = self.asked["u"].to_numpy(), self.asked["v"].to_numpy()
-        here = (_find(np.sort(self.ids), u) >= 0) & (_find(np.sort(self.ids), v) >= 0)
-        code = np.where(here, self.local("u") * self.m + self.local("v"), -2)
-        by = np.argsort(code)
-        s = self.seq
-        at = _find(code[by], np.where((s[:-1] >= 0) & (s[1:] >= 0), s[:-1] * self.m + s[1:], -1))
-        return np.where(at >= 0, by[at] if len(by) else -1, -1)
-
-    def counted(self, at: np.ndarray, length: int) -> pa.Table:
-        """Distinct runs of ``length`` pairs at the places ``at``, with their counts."""
-        s = self.seq
-        code = s[at] * self.m + s[at + 1]
-        first, inv = np.unique(code, return_inverse=True)
-        if length == 3:
-            code, n = np.unique(inv * self.m + s[at + 2], return_counts=True)
-            head, tail = first[code // self.m], self.ids[code % self.m]
+
+    def runs(self, k: int) -> np.ndarray:
+        """One number for the ``k`` <= 3 words that start at every place, -1 where a piece ends before or a word is rare."""
+        if k == 3 and self.m > DIRECT:
+            pair = self.runs(2)
+            at = _find(self.pairs, pair[:-1])
+            return np.where((at >= 0) & (pair[1:] >= 0), at * self.m + self.seq[2:], -1)
+        n = max(len(self.seq) - k + 1, 0)
+        code, ok = np.zeros(n, np.int64), np.ones(n, bool)
+        for j in range(k):
+            word = self.seq[j:j + n]
+            ok &= word >= 0
+            code = code * self.m + word
+        return np.where(ok, code, -1)
+
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        """The chunk's pairs in order; their places stand for them in triples of a chunk with very many words."""
+        return np.unique(self.runs(2)[self.runs(2) >= 0])
+
+    def places(self, asked: pa.Table, names: str) -> np.ndarray:
+        """The row of ``asked`` whose words start at every place, -1 where none does."""
+        code, here = np.zeros(asked.num_rows, np.int64), np.ones(asked.num_rows, bool)
+        for j, c in enumerate(names):
+            at = _find(self.ids[self.order], asked[c].to_numpy())
+            here &= at >= 0
+            if j == 2 and self.m > DIRECT:
+                code = _find(self.pairs, code)
+                here &= code >= 0
+            code = code * self.m + (self.order[np.maximum(at, 0)] if len(self.order) else 0)
+        rows = np.flatnonzero(here)
+        rows = rows[np.argsort(code[rows])]
+        at = _find(code[rows], self.runs(len(names)))
+        return np.where(at >= 0, rows[np.maximum(at, 0)] if len(rows) else -1, -1)
+
+    def counted(self, at: np.ndarray, k: int) -> pa.RecordBatch:
+        """Distinct runs of ``k`` words at the places ``at``, with their counts; words that a run has not are -1."""
+        head, inv = np.unique(self.runs(min(k, 3))[at], return_inverse=True)
+        tail = np.full(len(head), -1, np.int64)
+        if k == 4:
+            both, n = np.unique(inv * self.m + self.seq[at + 3], return_counts=True)
+            head, tail = head[both // self.m], self.ids[both % self.m]
         else:
-            head, n = first, np.bincount(inv, minlength=len(first))
-            tail = np.zeros(len(first), np.int64)
-        return pa.table({"u": self.ids[head // self.m], "v": self.ids[head % self.m], "t": tail, "n": n.astype(np.int64)})
+            n = np.bincount(inv, minlength=len(head))
+        last = [head % self.m]
+        pair = head // self.m if k > 2 else head
+        if k > 2 and self.m > DIRECT:
+            pair = self.pairs[pair]
+        words = [self.ids[x] for x in (pair // self.m, pair % self.m, *(last if k > 2 else ()))]
+        words += [np.full(len(head), -1, np.int64)] * (3 - len(words)) + [tail]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*words, n)], schema=_RUNS)
 
 
-_COUNTED = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("t", pa.int64()), ("n", pa.int64())])
+def _flag(asked: pa.Table, name: str, places: np.ndarray) -> np.ndarray:
+    """The flag of the asked row at every place, False at -1."""
+    return np.append(asked[name].to_numpy(zero_copy_only=False).astype(bool), False)[places]
 
 
-def _both(out: list[pa.Table]) -> pa.Table:
-    return pa.concat_tables([_COUNTED.empty_table(), *out])
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of frequent neighbours of every chunk."""
+    for batch in batches:
+        for c in batch.to_pylist():
+            words = _Words(c)
+            found = words.counted(np.flatnonzero(words.runs(2) >= 0), 2)
+            yield from (found.slice(at, ROW) for at in range(0, found.num_rows, ROW))
 
 
-def _grow_pairs(chunk: pa.Table, asked: pa.Table) -> pa.Table:
-    """Triples whose first pair is open or probed, or whose last pair is probed; ``asked`` has ``u, open, probe``."""
-    out = []
-    for c in chunk.to_pylist():
-        x = _Pairs(c, asked)
-        flag = {k: np.zeros(x.m + 1, bool) for k in ("open", "probe")}
-        for k, f in flag.items():
-            f[x.local("u")[asked[k].to_numpy(zero_copy_only=False).astype(bool)]] = True
-        s = x.seq
-        grow = flag["open"] | flag["probe"]
-        at = np.flatnonzero((s[:-1] >= 0) & (s[1:] >= 0) & (grow[s[:-1]] | flag["probe"][s[1:]]))
-        out.append(x.counted(at, 2))
-    return _both(out)
-
-
-def _grow_triples(chunk: pa.Table, asked: pa.Table) -> pa.Table:
-    """Phrases of four words whose first triple is open or probed, or whose last triple is probed; ``asked`` has ``u, v, open, probe``."""
-    out = []
-    for c in chunk.to_pylist():
-        x = _Pairs(c, asked)
-        t, s = x.triples(), x.seq
-        grow = x.flags(t, "open") | x.flags(t, "probe")
-        at = np.flatnonzero((s[:-2] >= 0) & (s[1:-1] >= 0) & (s[2:] >= 0) & (grow[:-1] | x.flags(t, "probe")[1:]))
-        out.append(x.counted(at, 3))
-    return _both(out)
+def _body(work):
+    """Cogroup function over a chunk and what is asked of it."""
+    def run(chunk: pa.Table, asked: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([work(_Words(c), asked) for c in chunk.to_pylist()], schema=_RUNS)
 
+    return run
 
-def _count_triples(chunk: pa.Table, asked: pa.Table) -> pa.Table:
-    """Counts of the triples that ``asked`` names by ``u, v``."""
-    out = []
-    for c in chunk.to_pylist():
-        x = _Pairs(c, asked)
-        out.append(x.counted(np.flatnonzero(x.triples() >= 0), 2))
-    return _both(out)
+
+def _grow(names: str):
+    """Runs one word longer whose first part is open or probed, or whose last part is probed."""
+    def work(words: _Words, asked: pa.Table) -> pa.RecordBatch:
+        k = len(names)
+        at = words.places(asked, names)
+        first, last = _flag(asked, "open", at) | _flag(asked, "probe", at), _flag(asked, "probe", at)
+        whole = words.runs(k)
+        fits = (whole[:-1] >= 0) & (whole[1:] >= 0)
+        return words.counted(np.flatnonzero(fits & (first[:-1] | last[1:])), k + 1)
+
+    return _body(work)
+
+
+def _named(words: _Words, asked: pa.Table) -> pa.RecordBatch:
+    """The triples that are asked for by name."""
+    return words.counted(np.flatnonzero(words.places(asked, "xyz") >= 0), 3)
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -264,47 +260,50 @@ def _lowest(cuts: list[tuple[Column, Column]], a: Column) -> Column:
     return F.least(*each) if len(each) > 1 else each[0]
 
 
-def _ask(state: DataFrame, body, asked: DataFrame) -> DataFrame:
-    """Sums over all chunks of what ``body`` counts; a chunk gets the ``asked`` rows whose ``u`` it holds."""
-    held = state.select(F.col("chunk").alias("of_chunk"), F.explode("ids").alias("u")).join(asked, "u")
-    rows = state.groupBy("chunk").cogroup(held.groupBy("of_chunk")).applyInArrow(body, "u long, v long, t long, n long")
-    return rows.groupBy("u", "v", "t").agg(F.sum("n").alias("a"))
-
-
 def _phrase(*words: str) -> Column:
     return F.concat_ws(" ", *words)
 
 
 class Miner:
-    """Frequent words and pairs of a corpus, and growth of longer phrases from them."""
+    """Frequent words and pairs of a corpus, and growth of longer phrases from them.
+
+    Words go by number: ``x, y, z, w`` are those of a phrase, ``tx`` to ``tw`` its spelling and ``fx``,
+    ``fxy`` and so on the counts of its parts.
+    """
 
     def __init__(self, docs: DataFrame, least: int = LEAST) -> None:
         """``docs`` has ``lang`` and ``text``."""
         self.least = least
         chunks = store(_chunks(docs), "phrases")
-        word = F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x")
-        seen = chunks.where("words IS NOT NULL").select("chunk", "lang", "first", word).select("chunk", "lang", (F.col("first") + F.col("i")).alias("ord"), F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-        counts = store(seen.groupBy("lang", "word").agg(F.sum("n").alias("f")), "phrases-counts")
-        self.size = counts.groupBy("lang").agg(F.sum("f").alias("n"))
+        word = F.posexplode(F.arrays_zip("words", "counts")).alias("i", "s")
+        seen = chunks.where("words IS NOT NULL").select("chunk", "lang", "first", word).select("chunk", "lang", (F.col("first") + F.col("i")).alias("ord"), F.col("s.words").alias("word"), F.col("s.counts").alias("n"))
+        self.size = store(seen.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-size")
+        # one shuffle brings the chunks' counts of a word together: its total goes on with every chunk that holds it
+        met = seen.withColumn("f", F.sum("n").over(Window.partitionBy("lang", "word"))).where(F.col("f") >= least)
+        met = store(met.select("chunk", "ord", "lang", "word", "f"), "phrases-met")
         # numbers are fixed once the table is written
-        self.words = store(counts.where(F.col("f") >= least).withColumn("gid", F.monotonically_increasing_id()), "phrases-words")
-        known = seen.join(self.words.select("lang", "word", "gid"), ["lang", "word"]).select(F.col("chunk").alias("of_chunk"), "ord", "gid")
+        self.words = store(met.select("lang", "word", "f").distinct().withColumn("gid", F.monotonically_increasing_id()), "phrases-words")
+        known = met.join(self.words.select("lang", "word", "gid"), ["lang", "word"]).select(F.col("chunk").alias("of_chunk"), "ord", "gid")
         seqs = chunks.where("words IS NULL").select("chunk", "size", "n_words", "seq")
-        kind = "chunk long, size long, seq binary, ids array<bigint>, p array<bigint>, w array<bigint>, n array<bigint>"
-        coded = store(seqs.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(_only_frequent, kind), "phrases-coded")
-        # one shuffle brings the chunks' counts of a pair together: its total goes on with every chunk that holds it
-        met = coded.where("p IS NOT NULL").select("chunk", F.explode(F.arrays_zip("p", "w", "n")).alias("x")).select("chunk", "x.*")
-        total = F.sum("n").over(Window.partitionBy("p", "w"))
-        met = store(met.withColumn("a", total).where(F.col("a") >= least).select("chunk", "p", "w", "a"), "phrases-met")
-        pairs = met.select("p", "w", "a").distinct().withColumn("gid", F.monotonically_increasing_id())
-        left = self.words.select(F.col("gid").alias("p"), "lang", F.col("f").alias("fx"), F.col("word").alias("x"))
-        right = self.words.select(F.col("gid").alias("w"), F.col("f").alias("fy"), F.col("word").alias("y"))
-        pairs = store(pairs, "phrases-pair-counts").join(left, "p").join(right, "w")
+        self.state = store(seqs.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(_only_frequent, "chunk long, size long, seq binary, ids array<bigint>"), "phrases-state")
+        self.salts = max(1, self.state.count() // CHUNKS_PER_SALT)
+        pairs = self.state.mapInArrow(_pairs, "x long, y long, z long, w long, n long").groupBy("x", "y").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+        left = self.words.select(F.col("gid").alias("x"), "lang", F.col("f").alias("fx"), F.col("word").alias("tx"))
+        right = self.words.select(F.col("gid").alias("y"), F.col("f").alias("fy"), F.col("word").alias("ty"))
+        pairs = store(pairs, "phrases-pair-counts").join(left, "x").join(right, "y")
         best = _lowest([(F.col("fx"), F.col("fy"))], F.col("a"))
         self.pairs = store(pairs.withColumn("best", best).select("*", "best.score", F.col("best.l").alias("l"), F.col("best.r").alias("r")).drop("best"), "phrases-pairs")
-        coded = coded.where("ids IS NOT NULL").select("chunk", "size", "seq", "ids")
-        known = met.join(self.pairs.select("p", "w", "gid"), ["p", "w"]).select(F.col("chunk").alias("of_chunk"), "p", "w", "gid")
-        self.state = store(coded.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(_only_pairs, _STATE), "phrases-state")
+
+    def ask(self, work, asked: DataFrame) -> DataFrame:
+        """Sums over all chunks of what ``work`` counts; a chunk gets the ``asked`` rows whose first word it has.
+
+        The rows of a common word are dealt to several tasks by chunk.
+        """
+        held = self.state.select(F.col("chunk").alias("of_chunk"), F.explode("ids").alias("x"), F.pmod(F.xxhash64("chunk"), F.lit(self.salts)).alias("salt"))
+        dealt = asked.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(self.salts - 1).cast("long"))))
+        known = held.join(dealt, ["x", "salt"]).drop("salt")
+        rows = self.state.groupBy("chunk").cogroup(known.groupBy("of_chunk")).applyInArrow(work, "x long, y long, z long, w long, n long")
+        return rows.groupBy("x", "y", "z", "w").agg(F.sum("n").alias("a"))
 
     def cuts(self, langs: DataFrame, rank: int) -> DataFrame:
         """``lang, cut``: the score of the pair at ``rank``, 0 where there are fewer."""
@@ -314,42 +313,41 @@ class Miner:
 
     def survivors(self, cuts: DataFrame) -> DataFrame:
         """All phrases of the languages in ``cuts`` that score at the cut or above and that no longer phrase absorbs."""
+        a, enough = F.col("a"), F.col("a") >= self.least
         pairs = self.pairs.join(cuts, "lang")
-        a = F.col("a")
-        ask = pairs.select(F.col("gid").alias("u"), (_div(a, F.col("fx") + a) >= F.col("cut")).alias("open"), (F.col("score") >= F.col("cut")).alias("probe")).where("open OR probe")
-        grown = store(_ask(self.state, _grow_pairs, ask).where(a >= self.least).select("u", "v", "a"), "phrases-grown")
-        u = pairs.select(F.col("gid").alias("u"), "lang", "cut", "x", "y", "fx", F.col("a").alias("fxy"))
-        v = self.pairs.select(F.col("gid").alias("v"), F.col("y").alias("z"), F.col("fy").alias("fz"), F.col("a").alias("fyz"))
-        triples = grown.join(u, "u").join(v, "v").withColumn("best", _lowest([(F.col("fx"), F.col("fyz")), (F.col("fxy"), F.col("fz"))], a))
+        asked = pairs.select("x", "y", (_div(a, F.col("fx") + a) >= F.col("cut")).alias("open"), (F.col("score") >= F.col("cut")).alias("probe")).where("open OR probe")
+        grown = store(self.ask(_grow("xy"), asked).where(enough).select("x", "y", "z", "a"), "phrases-grown")
+        head = pairs.select("x", "y", "lang", "cut", "tx", "ty", "fx", F.col("a").alias("fxy"))
+        tail = self.pairs.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("ty").alias("tz"), F.col("fy").alias("fz"), F.col("a").alias("fyz"))
+        triples = grown.join(head, ["x", "y"]).join(tail, ["y", "z"]).withColumn("best", _lowest([(F.col("fx"), F.col("fyz")), (F.col("fxy"), F.col("fz"))], a))
         bound = F.least(_div(a, F.col("fx") + a), _div(a, F.col("fxy") + a))
         triples = store(triples.select("*", "best.score", F.col("best.l").alias("l"), F.col("best.r").alias("r"), (bound >= F.col("cut")).alias("open"), (F.col("best.score") >= F.col("cut")).alias("probe")).drop("best"), "phrases-triples")
-        fours = _ask(self.state, _grow_triples, triples.where("open OR probe").select("u", "v", "open", "probe")).where(a >= self.least)
-        head = triples.select("u", "v", "lang", "cut", "x", "y", "z", "fx", "fxy", F.col("a").alias("fxyz"), F.col("open").alias("grown"))
-        tail = self.pairs.select(F.col("gid").alias("t"), F.col("y").alias("w"), F.col("fy").alias("fw"), F.col("a").alias("fzw"))
-        rest = triples.select(F.col("u").alias("v"), F.col("v").alias("t"), F.col("a").alias("fyzw"))
+        fours = self.ask(_grow("xyz"), triples.where("open OR probe").select("x", "y", "z", "open", "probe")).where(enough)
+        head = triples.select("x", "y", "z", "lang", "cut", "tx", "ty", "tz", "fx", "fxy", F.col("a").alias("fxyz"), F.col("open").alias("grown"))
+        tail = self.pairs.select(F.col("x").alias("z"), F.col("y").alias("w"), F.col("ty").alias("tw"), F.col("fy").alias("fw"), F.col("a").alias("fzw"))
+        rest = triples.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("z").alias("w"), F.col("a").alias("fyzw"))
         # a phrase whose first triple was never grown is bounded below the cut: only its count matters
-        fours = store(fours.join(head, ["u", "v"], "left").join(tail, "t").join(rest, ["v", "t"], "left"), "phrases-fours")
+        fours = store(fours.join(head, ["x", "y", "z"], "left").join(tail, ["z", "w"]).join(rest, ["y", "z", "w"], "left"), "phrases-fours")
         two, three = (F.col("fxy"), F.col("fzw")), (F.col("fxyz"), F.col("fw"))
         wanted = fours.where("grown AND fyzw IS NULL").where(F.least(*(_div(a, x + y) for x, y in (two, three))) >= F.col("cut"))
         # rests that no growth has met are counted by name
-        named = wanted.select(F.col("v").alias("u"), F.col("t").alias("v")).distinct()
-        late = _ask(self.state, _count_triples, named).select(F.col("u").alias("v"), F.col("v").alias("t"), F.col("a").alias("late"))
-        scored = fours.where("grown").join(late, ["v", "t"], "left").withColumn("fyzw", F.coalesce("fyzw", "late")).where("fyzw IS NOT NULL")
+        named = store(wanted.select(F.col("y").alias("x"), F.col("z").alias("y"), F.col("w").alias("z")).distinct(), "phrases-named")
+        late = self.ask(_body(_named), named).select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("z").alias("w"), F.col("a").alias("late"))
+        scored = fours.where("grown")
+        scored = (scored.withColumn("late", F.lit(None).cast("long")) if named.isEmpty() else scored.join(late, ["y", "z", "w"], "left")).withColumn("fyzw", F.coalesce("fyzw", "late")).where("fyzw IS NOT NULL")
         best = _lowest([(F.col("fx"), F.col("fyzw")), two, three], a)
         scored = scored.withColumn("best", best).where(F.col("best.score") >= F.col("cut"))
 
-        def absorbed(longer: DataFrame, *keys: tuple[str, ...]) -> DataFrame:
-            names = [f"k{i}" for i in range(len(keys[0]))]
-            each = [longer.select(*(F.col(c).alias(n) for c, n in zip(k, names)), F.col("a").alias("longer")) for k in keys]
-            return reduce(DataFrame.union, each).groupBy(*names).agg(F.max("longer").alias("longer"))
+        def absorbed(longer: DataFrame, to: str, *parts: str) -> DataFrame:
+            each = [longer.select(*(F.col(c).alias(n) for c, n in zip(p, to)), F.col("a").alias("longer")) for p in parts]
+            return reduce(DataFrame.union, each).groupBy(*to).agg(F.max("longer").alias("longer"))
 
         stays = F.col("longer").isNull() | (F.col("longer") * 5 < a * ABSORB)
-        over = absorbed(grown, ("u",), ("v",)).withColumnRenamed("k0", "gid")
-        two_words = pairs.where(F.col("score") >= F.col("cut")).join(over, "gid", "left").where(stays).select("lang", _phrase("x", "y").alias("phrase"), "a", "l", "r", "score")
-        over = absorbed(fours, ("u", "v"), ("v", "t")).withColumnsRenamed({"k0": "u", "k1": "v"})
-        three_words = triples.where("probe").join(over, ["u", "v"], "left").where(stays).select("lang", _phrase("x", "y", "z").alias("phrase"), "a", "l", "r", "score")
-        four_words = scored.select("lang", _phrase("x", "y", "z", "w").alias("phrase"), "a", "best.l", "best.r", "best.score")
-        return store(two_words.union(three_words).union(four_words), "phrases-left")
+        two_words = pairs.where(F.col("score") >= F.col("cut")).join(absorbed(grown, "xy", "xy", "yz"), ["x", "y"], "left").where(stays)
+        three_words = triples.where("probe").join(absorbed(fours, "xyz", "xyz", "yzw"), ["x", "y", "z"], "left").where(stays)
+        out = [two_words.select("lang", _phrase("tx", "ty").alias("phrase"), "a", "l", "r", "score"), three_words.select("lang", _phrase("tx", "ty", "tz").alias("phrase"), "a", "l", "r", "score"),
+               scored.select("lang", _phrase("tx", "ty", "tz", "tw").alias("phrase"), "a", "best.l", "best.r", "best.score")]
+        return store(reduce(DataFrame.union, out), "phrases-left")
 
 
 def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST, limit: int = LIMIT) -> DataFrame:
