@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -31,6 +32,22 @@ def raw_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
+def each_text(batch: pa.RecordBatch, name: str = "text", rows: int = 256) -> Iterator[bytes | None]:
+    """UTF-8 bytes of a text column, a few rows at a time, so that a batch is never held twice."""
+    column = batch.column(batch.schema.get_field_index(name))
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).cast(pa.binary()).to_pylist()
+
+
+def give_back() -> None:
+    """Return freed memory of this task's Python process to the machine; a reused worker keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
 class _Hashes(dict):
     """Word -> 64-bit hash, kept for repeated words up to a bound."""
 
