@@ -16,6 +16,8 @@ from sievelark.operators.components import components
 from sievelark.session import settle
 
 BLOCK = 16
+#: Blocks that one task labels, one after the other.
+BLOCKS_PER_TASK = 2_000
 AXES = ("x", "y", "z")
 
 
@@ -79,47 +81,67 @@ def _labels(empty: np.ndarray) -> np.ndarray:
         lab = new
 
 
-def _solve_block(size: int, axis: int):
-    """Function of one block's rows (kind 0: the block, 1: full voxels, 2: voxels asked for by atoms)."""
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        frame, low = key[0], np.array(key[1:4]) * size
-        dims = pdf.loc[pdf["kind"] == 0, ["dx", "dy", "dz"]].to_numpy()[0]
-        shape = np.minimum(size, dims - low)
-        empty = np.ones(shape, bool)
-        xyz = pdf[["x", "y", "z"]].to_numpy() - low
-        full, asked = (pdf["kind"] == 1).to_numpy(), (pdf["kind"] == 2).to_numpy()
-        empty[tuple(xyz[full].T)] = False
-        lab = _labels(empty)
-        rows = []
-        # part numbers are unique in a frame: block number, then voxel number
-        blocks = -(-dims // size)
-        base = int((key[1] * blocks[1] + key[2]) * blocks[2] + key[3]) * size ** 3
-
-        def emit(kind: int, side: int, voxels: np.ndarray, atom=None) -> None:
-            part = lab[tuple(voxels.T)]
-            ok = part >= 0
-            at = voxels[ok] + low
-            rows.append(pd.DataFrame({"frame": frame, "kind": kind, "side": side, "x": at[:, 0], "y": at[:, 1], "z": at[:, 2], "part": base + part[ok], "atom": -1 if atom is None else atom[ok]}))
-
-        grid = np.argwhere(empty)
-        parts = np.unique(lab[lab >= 0])
-        rows.append(pd.DataFrame({"frame": frame, "kind": 0, "side": 0, "x": 0, "y": 0, "z": 0, "part": base + parts, "atom": -1}))
-        for ax in range(3):
-            for side, edge in ((0, 0), (1, shape[ax] - 1)):
-                at = grid[grid[:, ax] == edge]
-                outer = low[ax] + edge in (0, dims[ax] - 1) and (low[ax] + edge == (0 if side == 0 else dims[ax] - 1))
-                if not outer:
-                    # a high border names the voxel beyond it, where the neighbour's low border meets it
-                    emit(1, 2 * ax + side, at)
-                elif ax == axis:
-                    emit(2, 0, at)
-        if asked.any():
-            emit(3, 0, xyz[asked], pdf["atom"].to_numpy()[asked])
-        out = pd.concat(rows)
-        for ax, c in enumerate(("x", "y", "z")):
-            out.loc[(out["kind"] == 1) & (out["side"] == 2 * ax + 1), c] += 1
-        # borders may ask several times for one part pair, a face for one part
-        return out.drop_duplicates()
+class _Rows:
+    """Result rows of many blocks as lists of arrays."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple] = []
+
+    def add(self, frame, kind: int, side: int, at: np.ndarray, part: np.ndarray, atom: np.ndarray | None = None) -> None:
+        n = len(part)
+        if n:
+            self.parts.append((np.full(n, frame), np.full(n, kind), np.full(n, side), at[:, 0], at[:, 1], at[:, 2], part, np.full(n, -1) if atom is None else atom))
+
+    def frame(self) -> pd.DataFrame:
+        names = ("frame", "kind", "side", "x", "y", "z", "part", "atom")
+        if not self.parts:
+            return pd.DataFrame({n: np.zeros(0, np.int64) for n in names})
+        return pd.DataFrame({n: np.concatenate(c) for n, c in zip(names, zip(*self.parts))})
+
+
+def _solve_block(rows: _Rows, frame, block: np.ndarray, dims: np.ndarray, xyz: np.ndarray, kind: np.ndarray, atom: np.ndarray, size: int, axis: int) -> None:
+    """Label one block (kind 1: full voxels, 2: voxels asked for by atoms) and add its parts, borders, open faces and answers."""
+    low = block * size
+    shape = np.minimum(size, dims - low)
+    empty = np.ones(shape, bool)
+    xyz = xyz - low
+    empty[tuple(xyz[kind == 1].T)] = False
+    lab = _labels(empty)
+    # part numbers are unique in a frame: block number, then voxel number
+    blocks = -(-dims // size)
+    base = int((block[0] * blocks[1] + block[1]) * blocks[2] + block[2]) * size ** 3
+    parts = np.unique(lab[lab >= 0])
+    rows.add(frame, 0, 0, np.zeros((len(parts), 3), int), base + parts)
+    grid = np.argwhere(empty)
+    label = lab[tuple(grid.T)]
+    for ax in range(3):
+        for side, edge, last in ((0, 0, 0), (1, shape[ax] - 1, dims[ax] - 1)):
+            on = grid[:, ax] == edge
+            if low[ax] + edge != last:
+                # a high border names the voxel beyond it, where the neighbour's low border meets it
+                beyond = np.zeros(3, int)
+                beyond[ax] = side
+                rows.add(frame, 1, 2 * ax + side, grid[on] + low + beyond, base + label[on])
+            elif ax == axis:
+                open_ = np.unique(label[on])
+                rows.add(frame, 2, 0, np.zeros((len(open_), 3), int), base + open_)
+    asked = xyz[kind == 2]
+    part = lab[tuple(asked.T)]
+    rows.add(frame, 3, 0, asked[part >= 0] + low, base + part[part >= 0], atom[kind == 2][part >= 0])
+
+
+def _solve_blocks(size: int, axis: int):
+    """Function over the rows of many whole blocks."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["frame", "bx", "by", "bz", "kind"], kind="stable")
+        block, frame = pdf[["bx", "by", "bz"]].to_numpy(), pdf["frame"].to_numpy()
+        xyz, kind, dims, atom = pdf[["x", "y", "z"]].to_numpy(), pdf["kind"].to_numpy(), pdf[["dx", "dy", "dz"]].to_numpy(), pdf["atom"].to_numpy()
+        # every block starts with its own row of kind 0
+        start = np.flatnonzero(kind == 0)
+        rows = _Rows()
+        for a, b in zip(start, np.append(start[1:], len(pdf))):
+            _solve_block(rows, frame[a], block[a], dims[a], xyz[a + 1:b], kind[a + 1:b], atom[a + 1:b], size, axis)
+        return rows.frame()
 
     return run
 
@@ -149,12 +171,15 @@ def voxel_surface(atoms: DataFrame, lattice: DataFrame, *, spacing: float = 0.8,
     inside = [(F.col(c) >= 0) & (F.col(c) < F.col(f"d{c}")) for c in AXES]
     asked = asked.where(inside[0] & inside[1] & inside[2]).select("frame", *of, F.lit(2).alias("kind"), *AXES, none("dx"), none("dy"), none("dz"), "atom")
     kind = dict(atoms.dtypes)["frame"]
-    solved = settle(head.unionByName(full).unionByName(asked).groupBy("frame", *blocks).applyInPandas(
-        _solve_block(block, axis), f"frame {kind}, kind int, side int, x int, y int, z int, part long, atom long"))
+    solve = _solve_blocks(block, axis)
+    rows = head.unionByName(full).unionByName(asked)
+    tasks = max(int(atoms.sparkSession.conf.get("spark.sql.shuffle.partitions")), head.count() // BLOCKS_PER_TASK)
+    solved = settle(rows.groupBy(F.pmod(F.xxhash64("frame", *blocks), F.lit(tasks)).alias("_k")).applyInPandas(
+        lambda pdf: solve(pdf), f"frame {kind}, kind int, side int, x int, y int, z int, part long, atom long"))
     parts = settle(solved.where("kind = 0").select("frame", "part").withColumn("id", F.monotonically_increasing_id()))
     border = solved.where("kind = 1")
     high = border.where("side % 2 = 1").select("frame", (F.col("side") - 1).alias("side"), *AXES, F.col("part").alias("a"))
-    meets = high.join(border.where("side % 2 = 0").select("frame", "side", *AXES, F.col("part").alias("b")), ["frame", "side", *AXES]).select("frame", "a", "b").distinct()
+    meets = high.distinct().join(border.where("side % 2 = 0").select("frame", "side", *AXES, F.col("part").alias("b")), ["frame", "side", *AXES]).select("frame", "a", "b").distinct()
     named = lambda side, to: parts.select("frame", F.col("part").alias(side), F.col("id").alias(to))
     links = meets.join(named("a", "src"), ["frame", "a"]).join(named("b", "dst"), ["frame", "b"]).select("frame", "src", "dst")
     joined = components(links, "frame")

@@ -198,3 +198,29 @@ def test_row_like_edges(spark):
     assert second == {(10 * x + y, 10 * x + y + 1) for x in range(4) for y in range(2)} and all(r["frame"] == 0 for r in got if r["shell"] == 2)
     none = row_like_edges(atoms.limit(0), atoms.limit(0), spark.createDataFrame([], "frame long, src long, dst long, d double"))
     assert none.count() == 0
+
+
+def test_pruning_across_borders(spark):
+    """Greedy pruning by nearest images equals the sequential rule; frames without a cell stay open."""
+    rng = np.random.default_rng(12)
+    cells = {0: (np.array([[4.0, 0.0, 0.0], [15.0, 4.0, 0.0], [0.0, 0.0, 9.0]]), [True, True, False]), 1: (np.array([[3.0, 0.0, 0.0], [1.0, 3.5, 0.0], [0.7, -0.4, 4.0]]), [True, True, True])}
+    rows = []
+    for i in range(150):
+        q = rng.normal(size=4)
+        q = [1.0, 0.0, 0.0, 0.0] if i % 2 else (q / np.linalg.norm(q)).tolist()
+        rows.append((i % 3, i, *map(float, rng.uniform(-6, 6, 2)), float(rng.uniform(0, 1)), 0.0, 0.0, 1.0, float(rng.integers(0, 4)) / 4, q))
+    df = spark.createDataFrame(rows, "frame long, pose_id long, cx double, cy double, cz double, nx double, ny double, nz double, height double, quaternion array<double>")
+    lattice = spark.createDataFrame([(f, c.tolist(), p) for f, (c, p) in cells.items()], LATTICE)
+    got = {r["pose_id"] for r in P.prune_duplicates(df, com=0.9, rotation=1.2, lattice=lattice).collect()}
+    kept = []
+    for r in sorted(rows, key=lambda r: (r[8], r[1])):
+        def close(o):
+            d = np.array(r[2:5]) - o[2:5] + [0, 0, r[8] - o[8]]
+            if r[0] in cells:
+                cell, pbc = cells[r[0]]
+                d = min((d + np.array(n) @ cell for n in itertools.product(*[range(-12, 13) if pbc[0] else (0,), range(-4, 5) if pbc[1] else (0,), range(-4, 5) if pbc[2] else (0,)])), key=np.linalg.norm)
+            return np.linalg.norm(d) < 0.9 and 2 * math.acos(min(1.0, abs(float(np.dot(r[9], o[9]))))) < 1.2
+
+        if not any(o[0] == r[0] and close(o) for o in kept):
+            kept.append(r)
+    assert got == {r[1] for r in kept} and 30 < len(kept) < 150
