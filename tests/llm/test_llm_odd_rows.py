@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sievelark.llm import decontaminate, jaccard, licenses, line_dedup, mixing, ngram_lm, order_minhash, quality, queries, secrets, toxicity
@@ -159,7 +160,8 @@ def test_prefix_tree_against_all_pairs(monkeypatch):
             assert set(jaccard.join_sets(sets[:h], sets[h:])) == {(i, j) for i in range(h) for j in range(len(sets) - h) if linked(sets[i], sets[h + j])}
 
 
-def test_jaccard_blocks_do_not_change_results(spark, monkeypatch):
+@pytest.mark.parametrize("bound", [("BLOCK", 7), ("BLOCK_SHINGLES", 500)])
+def test_jaccard_blocks_do_not_change_results(spark, monkeypatch, bound):
     rng = np.random.default_rng(7)
     base = [f"w{x}" for x in rng.integers(0, 10_000, 120)]
     rows = []
@@ -170,7 +172,7 @@ def test_jaccard_blocks_do_not_change_results(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     d = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(map(tuple, jaccard.near_duplicates(d).collect()))
-    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    monkeypatch.setattr(jaccard, *bound)
     monkeypatch.setattr(jaccard, "FEW", 4)
     assert sorted(map(tuple, jaccard.near_duplicates(d).collect())) == want
     sets = {i: set(zip(*[t.split()[k:] for k in range(5)])) for i, t in rows}
