@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sievelark.operators import structure as S
@@ -48,3 +49,28 @@ def test_merged_basin_takes_the_lowest_energy(spark):
     got = {r["basin_id"]: (r["rep_id"], r["energy"], r["n_members"], r["source_basin_ids"]) for r in out.where(~F.isnan("energy")).collect()}
     assert got == {1: (11, 4.5, 3, "0,1")}
     assert sorted(map(tuple, members.collect())) == [(1, 10), (1, 11), (1, 13), (2, 12)]
+
+
+def test_small_frames_lay_out_no_images(spark, monkeypatch):
+    """Frames joined whole compare nearest images pair by pair: no copy of an atom is made, nulls and frames without a cell stay open."""
+    monkeypatch.setattr(S, "with_images", None)
+    rows = [(f, i, i < 3, 78, x, 0.7 * i, 0.3 * i * i) for f in range(3) for i, x in enumerate((0.2, 9.1, 17.3, 3.9, 12.4))]
+    rows += [(0, 1, True, 78, 9.1, 0.7, 0.3), (0, 9, True, 78, None, 0.0, 0.0), (None, 3, False, 78, 0.0, 0.0, 0.0)]
+    cells = {0: ([[4.0, 0.0, 0.0], [39.0, 4.0, 0.0], [0.0, 0.0, 30.0]], [True, True, False]), 1: ([[5.0, 0.0, 0.0], [2.0, 6.0, 0.0], [-1.0, 2.0, 7.0]], [True, True, True])}
+    lattice = spark.createDataFrame([(f, *c) for f, c in cells.items()] + [(2, None, None)], LATTICE)
+    a = spark.createDataFrame(rows, ATOMS)
+    got = S.atoms_within_images(a.where("is_ads"), a.where("not is_ads"), 3.0, max_cutoff=3.0, lattice=lattice).collect()
+    assert len(got) == len({(r["frame"], r["a_atom"], r["b_atom"]) for r in got})
+    want = {}
+    for f, i, p in [(r[0], r[1], np.array(r[4:])) for r in rows if r[2] and r[4] is not None]:
+        for g, j, q in [(r[0], r[1], np.array(r[4:])) for r in rows if not r[2]]:
+            if f == g:
+                cell, pbc = cells.get(f, (np.eye(3), [False] * 3))
+                n = np.array(list(itertools.product(*[range(-40, 41) if k < 2 and pbc[k] else range(-3, 4) if pbc[k] else (0,) for k in range(3)])), float)
+                d = np.sqrt(((p - q + n @ np.array(cell)) ** 2).sum(1)).min()
+                if d <= 3.0:
+                    want[f, i, j] = d
+    assert {(r["frame"], r["a_atom"], r["b_atom"]): r["d"] for r in got} == pytest.approx(want) and {f for f, _, _ in want} >= {0, 1}
+    assert all(np.linalg.norm([r[f"a_{c}"] - r[f"b_{c}"] for c in ("px", "py", "pz")]) == pytest.approx(r["d"]) for r in got)
+    ratios = {r["frame"]: r["min_ratio"] for r in S.min_contact_ratio(a.where("px is not null"), lattice=lattice).collect()}
+    assert ratios[0] == pytest.approx(min(d for (f, _, _), d in want.items() if f == 0) / 2.72)
