@@ -155,3 +155,31 @@ def test_clusters_under_metrics(spark, method):
             assert same(got) == same(part | want)
     none = cluster_ids(df.limit(0).withColumn("row", M.rmsd_row("xyz", "classes")), id="id", feat="row", threshold=0.3, method=method, energy="e", group=["kind"], metric=M.RMSD)
     assert none.count() == 0
+
+
+def test_node_distances_are_matched_in_batches(monkeypatch):
+    """Small classes never solve an assignment pair by pair; the distances are those of the assignment."""
+    import pandas as pd
+
+    rng = np.random.default_rng(11)
+    classes = [[6], [6, 6], [8, 6], [6, 1, 6, 1], [1, 1, 1], [8] * 5, [6, 6, 6, 6, 1], [6]]
+    which = rng.integers(0, len(classes), 400)
+    desc = [rng.random((len(classes[i]), 3 if i != 7 else 2)).tolist() for i in which]
+    rows = M._node_rows(pd.Series(desc + [None, [[1.0], []]]), pd.Series([classes[i] for i in which] + [None, [1, 2]]), True)
+    assert rows[400] is None and rows[401] is None
+    wide = np.zeros((400, max(len(r) for r in rows[:400])))
+    for i, r in enumerate(rows[:400]):
+        wide[i, :len(r)] = r
+    a, b = wide[:200], wide[200:]
+    solved = []
+    monkeypatch.setattr(M, "assignment", lambda cost: solved.append(len(cost)) or S.assignment(cost))
+    got = M.node_distance(a[:, M.LEAD:], b[:, M.LEAD:])
+    for g, i, j, x, y in zip(got, which[:200], which[200:], a, b):
+        if sorted(classes[i]) != sorted(classes[j]) or (i == 7) != (j == 7):
+            assert np.isnan(g)
+            continue
+        n, m = int(x[M.LEAD]), int(x[M.LEAD + 1])
+        c, (p, q) = x[M.LEAD + 2:M.LEAD + 2 + n], (v[M.LEAD + 2 + n:M.LEAD + 2 + n + n * m].reshape(n, m) for v in (x, y))
+        want = min(sum(np.linalg.norm(p[r] - q[s]) for r, s in enumerate(o)) for o in itertools.permutations(range(n)) if all(c[r] == c[s] for r, s in enumerate(o)))
+        assert g == pytest.approx(want) and np.linalg.norm(x[:M.LEAD] - y[:M.LEAD]) <= g + 1e-9
+    assert (~np.isnan(got)).sum() > 20 and set(solved) == {5}
