@@ -183,3 +183,22 @@ def test_node_distances_are_matched_in_batches(monkeypatch):
         want = min(sum(np.linalg.norm(p[r] - q[s]) for r, s in enumerate(o)) for o in itertools.permutations(range(n)) if all(c[r] == c[s] for r, s in enumerate(o)))
         assert g == pytest.approx(want) and np.linalg.norm(x[:M.LEAD] - y[:M.LEAD]) <= g + 1e-9
     assert (~np.isnan(got)).sum() > 20 and set(solved) == {5}
+
+
+def test_molecule_rows_are_made_in_batches(monkeypatch):
+    """Molecules of one size share a step; each row is that of the molecule by itself."""
+    import pandas as pd
+
+    rng = np.random.default_rng(12)
+    kinds = [[6], [8, 6], [6, 1, 6], [1, 1, 6, 1, 8, 6, 6, 1, 1, 8]]
+    classes = [kinds[i] for i in rng.integers(0, 4, 60)] + [None, [6], []]
+    xyz = [rng.normal(size=(len(c or []), 3)).tolist() for c in classes[:60]] + [[[0.0, 0.0, 0.0]], None, []]
+    steps, one = [], M._molecules
+    monkeypatch.setattr(M, "_molecules", lambda x, c: steps.append(len(x)) or one(x, c))
+    rows = M._molecule_rows(pd.Series(xyz), pd.Series(classes))
+    assert len(steps) == 4 and rows[60:] == [None, None, None]
+    for (lead, payload), p, c in zip(rows[:60], xyz, classes):
+        order = np.argsort(c, kind="stable")
+        x, k = (np.array(p) - np.mean(p, 0))[order], np.array(c, float)[order]
+        r = np.concatenate([np.sort(np.linalg.norm(x[k == v], axis=1)) for v in np.unique(k)]) / np.sqrt(len(k))
+        assert payload.tolist() == pytest.approx([len(k), *k, *x.ravel()]) and lead.tolist() == pytest.approx([np.linalg.norm(v) for v in np.array_split(r, M.LEAD)])
