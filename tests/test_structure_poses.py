@@ -187,3 +187,15 @@ def test_pose_pruning_and_cap(spark):
     assert got == sorted(kept) and len(kept) < 60
     cap = P.cap_per_site(df, 4).groupBy("site_id").count().collect()
     assert {r["count"] for r in cap} == {4}
+
+
+def test_height_plan_does_not_repeat_the_search(spark):
+    """A filter on the height once copied the whole search into itself, again for each step of it."""
+    s = spark.createDataFrame([(0, 7, 1, *[0.0] * 5, 1.0, 1.0, *[0.0] * 3, 1.0, 0.0)], "frame long, site_id long, coordination int, cx double, cy double, cz double, nx double, ny double, nz double, t1x double, t1y double, t1z double, t2x double, t2y double, t2z double")
+    slab = spark.createDataFrame([(0, 1, 29, 0.0, 0.0, 0.0)], "frame long, atom long, z int, px double, py double, pz double")
+    p = P.enumerate_poses(s, shifts=[(0.0, 0.0), (0.3, 0.0)], quaternions=P.tilt_quaternions(1), azimuths=[0.0])
+    h = P.solve_heights(p, slab, spark.createDataFrame([(7, 1)], "site_id long, atom long"), [(6, 0.0, 0.0, 0.0)], taus=(0.9, 0.95, 1.0), rescue=0.2)
+    assert len(h._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    got = {r["shift_index"]: r["height"] for r in h.collect()}
+    reach = 0.9 * (COVALENT_RADII[5] + COVALENT_RADII[28])
+    assert reach <= got[0] < reach + 0.001 and math.sqrt(reach**2 - 0.09) <= got[1] < math.sqrt(reach**2 - 0.09) + 0.001
