@@ -211,3 +211,13 @@ def test_components_paths_agree(spark):
 def test_parity_without_spread(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 1.0)], "t double, p double")
     assert math.isnan(parity_metrics(df, "t", "p").first()["r2"])
+
+
+def test_small_groups_beside_a_large_one(spark):
+    """Groups of a few rows are joined whole, a large one by its grid; pairs are those of brute force."""
+    rng = np.random.default_rng(12)
+    rows = [(i, 0 if i < 700 else i % 40, rng.random(2).round(2).tolist()) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, g long, x array<double>")
+    got = sorted((r["_a"], r["_b"]) for r in near_pairs(prepared(df, "id", "x", "id", "g"), 0.05).collect())
+    want = sorted((a, b) for a, g, x in rows for b, h, y in rows if a < b and g == h and np.sqrt(((np.array(x) - y) ** 2).sum()) <= 0.05)
+    assert got == want
