@@ -63,9 +63,14 @@ def _norm(a: Column) -> Column:
     return F.sqrt(_dot(a, a))
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row: expressions inside lambdas run again for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unit(a: Column) -> Column:
     """A vector scaled to length 1; null below 1e-12."""
-    return F.when(_norm(a) > 1e-12, F.transform(a, lambda v: v / _norm(a)))
+    return _once(a, lambda b: F.when(_norm(b) > 1e-12, _once(_norm(b), lambda n: F.transform(b, lambda v: v / n))))
 
 
 def cone_direction(vectors: Column) -> Column:
@@ -94,13 +99,17 @@ def cone_direction(vectors: Column) -> Column:
 
 def quaternion_between(a: Column, b: Column) -> Column:
     """The shortest rotation (scalar part first) from one unit vector to another; half a turn about a normal axis where they are opposite."""
+    return _once(F.struct(a.alias("a"), b.alias("b")), lambda p: _shortest(p["a"], p["b"]))
+
+
+def _shortest(a: Column, b: Column) -> Column:
     d = _dot(a, b)
     cross = _vec(a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
     helper = F.when(F.abs(a[0]) < 0.9, _vec(F.lit(1.0), F.lit(0.0), F.lit(0.0))).otherwise(_vec(F.lit(0.0), F.lit(1.0), F.lit(0.0)))
     side = unit(_vec(a[1] * helper[2] - a[2] * helper[1], a[2] * helper[0] - a[0] * helper[2], a[0] * helper[1] - a[1] * helper[0]))
     turn = F.array(1.0 + d, cross[0], cross[1], cross[2])
-    length = F.sqrt(F.aggregate(turn, F.lit(0.0), lambda s, v: s + v * v))
-    return F.when(d > -1.0 + 1e-12, F.transform(turn, lambda v: v / length)).otherwise(F.array(F.lit(0.0), side[0], side[1], side[2]))
+    scaled = _once(turn, lambda t: _once(F.sqrt(F.aggregate(t, F.lit(0.0), lambda s, v: s + v * v)), lambda n: F.transform(t, lambda v: v / n)))
+    return F.when(d > -1.0 + 1e-12, scaled).otherwise(_once(side, lambda s: F.array(F.lit(0.0), s[0], s[1], s[2])))
 
 
 def matrix_quaternion(m: Column) -> Column:
@@ -122,8 +131,8 @@ def tilt_targets(normal: Column, tangent: Column, tilts: list[float]) -> Column:
     for t in tilts:
         c, s = math.cos(math.radians(t)), math.sin(math.radians(t))
         d = F.zip_with(normal, tangent, lambda n, u: c * n + s * u)
-        out += [F.struct(F.lit(float(t)).alias("tilt"), unit(d).alias("direction")), F.struct(F.lit(float(t)).alias("tilt"), F.transform(unit(d), lambda v: -v).alias("direction"))]
-    return F.array(*out)
+        out.append(_once(unit(d), lambda d: F.array(*[F.struct(F.lit(float(t)).alias("tilt"), v.alias("direction")) for v in (d, F.transform(d, lambda x: -x))])))
+    return F.flatten(F.array(*out))
 
 
 def distinct_rotations(quaternions: Column, tolerance: float = SAME) -> Column:
@@ -137,17 +146,17 @@ def spread_rotations(quaternions: Column, k: int, seeds: Column | None = None) -
 
     Starts from ``seeds`` (the first rotation by default); ties go to the earlier candidate.
     """
-    start = F.slice(quaternions, 1, 1) if seeds is None else F.slice(seeds, 1, k)
+    def spread(all_: Column) -> Column:
+        def add(chosen: Column, _: Column) -> Column:
+            def scored(q: Column, i: Column) -> Column:
+                return F.struct(F.array_min(F.transform(chosen, lambda r: quaternion_angle(r, q))).alias("d"), (-i).alias("i"), q.alias("q"))
 
-    def add(chosen: Column, _: Column) -> Column:
-        def scored(q: Column, i: Column) -> Column:
-            return F.struct(F.array_min(F.transform(chosen, lambda r: quaternion_angle(r, q))).alias("d"), (-i).alias("i"), q.alias("q"))
+            far = F.array_max(F.filter(F.transform(all_, scored), lambda c: c["d"] > SAME))
+            return _once(far, lambda f: F.when((F.size(chosen) < k) & f.isNotNull(), F.concat(chosen, F.array(f["q"]))).otherwise(chosen))
 
-        far = F.array_max(F.filter(F.transform(quaternions, scored), lambda c: c["d"] > SAME))
-        # the one-element array computes the farthest candidate once
-        return F.transform(F.array(far), lambda f: F.when((F.size(chosen) < k) & f.isNotNull(), F.concat(chosen, F.array(f["q"]))).otherwise(chosen))[0]
+        return F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.slice(all_, 1, 1) if seeds is None else F.slice(seeds, 1, k), add)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, add)
+    return _once(quaternions, spread)
 
 
 def linear_rotations(axis: Column, normal: Column, tangent: Column, tilts: list[float], k: int) -> Column:

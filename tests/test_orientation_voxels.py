@@ -224,3 +224,15 @@ def test_pruning_across_borders(spark):
         if not any(o[0] == r[0] and close(o) for o in kept):
             kept.append(r)
     assert got == {r[1] for r in kept} and 30 < len(kept) < 150
+
+
+def test_rotations_are_computed_once(spark):
+    """The candidates of a choice, and a vector to be scaled, stand in the plan once; inside lambdas they ran for every element."""
+    df = spark.createDataFrame([([[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.6, 0.8, 0.0, 0.0]],)], "q array<array<double>>")
+    of = lambda c: df.select(c.alias("out"))
+    spread = of(O.spread_rotations(F.reverse("q"), 2))
+    unit = of(O.unit(F.reverse(F.slice(F.get("q", F.lit(2)), 1, 3))))
+    for d in (spread, unit):
+        assert d._jdf.queryExecution().analyzed().toString().count("reverse(") == 1
+    assert spread.first()["out"] == [[0.6, 0.8, 0.0, 0.0], [1.0, 0.0, 0.0, 0.0]]
+    assert unit.first()["out"] == pytest.approx([0.0, 0.8, 0.6])
