@@ -1,6 +1,7 @@
 """Voxel surface detection: occupancy, a flood from the open faces, contacts of atoms with the outside.
 
-A frame's grid is cut into blocks. A task labels the connected empty voxels of one block at a
+Frames of few voxels and atoms are flooded whole, many at once as one array. The grid of a
+larger frame is cut into blocks. A task labels the connected empty voxels of one block at a
 time; only labels that meet across block borders go on to the component search, so the graph to
 solve has a few nodes per block instead of one per voxel, and one large frame uses many tasks.
 """
@@ -19,6 +20,10 @@ BLOCK = 16
 #: Blocks that one task labels, one after the other.
 BLOCKS_PER_TASK = 2_000
 AXES = ("x", "y", "z")
+#: A frame of up to so many voxels and atoms is flooded whole.
+WHOLE_VOXELS, WHOLE_ATOMS = 32_768, 4_096
+#: Atoms of whole frames in one task, and voxels in one vectorised step.
+ATOMS_PER_TASK, STEP = 40_000, 1_000_000
 
 
 def _cross(a: Column, b: Column) -> list[Column]:
@@ -41,13 +46,22 @@ def _placed(atoms: DataFrame, lattice: DataFrame, spacing: float, axis: int) ->
     return j.drop("_pbc")
 
 
-def _occupied(placed: DataFrame, spacing: float, scale: float, axis: int) -> DataFrame:
-    """``frame, x, y, z`` of the voxels within an atom's radius; differences along the surface wrap."""
+def _reach(placed: DataFrame, spacing: float, scale: float) -> DataFrame:
+    """Atoms with radius ``_r`` and the voxels ``lo*`` to ``hi*`` that it may reach along each axis."""
     j = placed.withColumn("_r", F.greatest(F.lit(float(spacing)), scale * covalent_radius("z")))
     for c in AXES:
         n = F.col(f"d{c}") - 1
         half = F.ceil(F.col("_r") / F.col(f"l{c}") * n).cast("int")
-        j = j.withColumn(f"v{c}", F.explode(F.sequence(F.greatest(F.lit(0), F.col(f"c{c}") - half), F.least(n, F.col(f"c{c}") + half))))
+        j = j.withColumn(f"lo{c}", F.greatest(F.lit(0), F.col(f"c{c}") - half)).withColumn(f"hi{c}", F.least(n, F.col(f"c{c}") + half))
+    return j
+
+
+def _occupied(placed: DataFrame, spacing: float, scale: float, axis: int) -> DataFrame:
+    """``frame, x, y, z`` of the voxels within an atom's radius; differences along the surface wrap."""
+    j = _reach(placed, spacing, scale)
+    for c in AXES:
+        n = F.col(f"d{c}") - 1
+        j = j.withColumn(f"v{c}", F.explode(F.sequence(f"lo{c}", f"hi{c}")))
         d = F.col(f"v{c}") / n - F.col(f"f{c}")
         j = j.withColumn(f"_g{c}", d if c == AXES[axis] else d - F.rint(d))
     away = [sum((F.col(f"_g{c}") * F.col("_cell")[i][k] for i, c in enumerate(AXES)), F.lit(0.0)) for k in range(3)]
@@ -146,16 +160,132 @@ def _solve_blocks(size: int, axis: int):
     return run
 
 
-def voxel_surface(atoms: DataFrame, lattice: DataFrame, *, spacing: float = 0.8, scale: float = 1.15, axis: int = 2, block: int = BLOCK) -> DataFrame:
+def _fill(empty: np.ndarray, frame: np.ndarray, rows: dict[str, np.ndarray], axis: int) -> None:
+    """Clear the voxels within the atoms' radii; the same sums in the same order as in :func:`_occupied`."""
+    lo, width = rows["lo"], rows["hi"] - rows["lo"] + 1
+    ends = np.cumsum(width.prod(1))
+    n = np.array(empty.shape[1:]) - 1
+    a = 0
+    while a < len(frame):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + STEP, side="right")))
+        count = width[a:b].prod(1)
+        i = np.repeat(np.arange(a, b), count)
+        k = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        w = width[i]
+        at = lo[i] + np.stack([k // (w[:, 1] * w[:, 2]), k // w[:, 2] % w[:, 1], k % w[:, 2]], axis=1)
+        g = at / n - rows["f"][i]
+        for ax in range(3):
+            if ax != axis:
+                g[:, ax] -= np.rint(g[:, ax])
+        cell = rows["cell"][i]
+        away = [0.0 + g[:, 0] * cell[:, m] + g[:, 1] * cell[:, 3 + m] + g[:, 2] * cell[:, 6 + m] for m in range(3)]
+        near = away[0] * away[0] + away[1] * away[1] + away[2] * away[2] <= rows["r"][i] * rows["r"][i]
+        empty[(frame[i[near]], *at[near].T)] = False
+        a = b
+
+
+def _outside(empty: np.ndarray, axis: int) -> np.ndarray:
+    """Empty voxels connected by faces to the lowest or highest layer along ``axis``, in every grid of the array."""
+    out = np.zeros_like(empty)
+    side = np.moveaxis(empty, axis + 1, 0)
+    for end in (0, -1):
+        np.moveaxis(out, axis + 1, 0)[end] = side[end]
+    live = np.arange(len(empty))
+    while len(live):
+        e, o = empty[live], out[live]
+        before = o.sum(axis=(1, 2, 3))
+        for ax in range(1, 4):
+            ee, oo = np.moveaxis(e, ax, 0), np.moveaxis(o, ax, 0)
+            for i in range(1, len(oo)):
+                oo[i] |= oo[i - 1] & ee[i]
+            for i in range(len(oo) - 2, -1, -1):
+                oo[i] |= oo[i + 1] & ee[i]
+        out[live] = o
+        live = live[o.sum(axis=(1, 2, 3)) > before]
+    return out
+
+
+def _solve_frames(axis: int):
+    """Function over the atoms of many whole frames."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(_f=pd.factorize(pdf["frame"])[0]).sort_values(["dx", "dy", "dz", "_f"], kind="stable", ignore_index=True)
+        of = lambda kind: pdf[[f"{kind}{c}" for c in AXES]].to_numpy()
+        dims, frame, at = of("d"), pdf["_f"].to_numpy(), of("c")
+        rows = {"f": of("f"), "lo": of("lo"), "hi": of("hi"), "r": pdf["_r"].to_numpy(), "cell": pdf[[f"m{k}" for k in range(9)]].to_numpy()}
+        first = np.flatnonzero(np.r_[True, frame[1:] != frame[:-1]])
+        contact, most = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
+        named = pdf["named"].to_numpy()
+        a = 0
+        while a < len(first):
+            shape = dims[first[a]]
+            # frames of one shape, as many as fit a step
+            b = min(len(first), a + max(1, STEP // int(shape.prod())))
+            b = a + int((dims[first[a:b]] == shape).all(1).cumprod().sum())
+            s = slice(first[a], first[b] if b < len(first) else len(pdf))
+            number = np.cumsum(np.r_[0, frame[s][1:] != frame[s][:-1]])
+            empty = np.ones((b - a, *shape), bool)
+            _fill(empty, number, {k: v[s] for k, v in rows.items()}, axis)
+            out = _outside(empty, axis)
+            for ax in range(3):
+                for step in (1, -1):
+                    to = at[s].copy()
+                    to[:, ax] += step
+                    ok = (to[:, ax] >= 0) & (to[:, ax] < shape[ax])
+                    contact[s][ok] += out[(number[ok], *to[ok].T)]
+            a = b
+        # rows of one atom count together, atoms without a number do not count
+        contact[~named] = 0
+        twice = pd.DataFrame({"f": frame, "a": pdf["atom"], "n": named})
+        if twice.duplicated().any():
+            contact = twice.assign(c=contact).groupby(["f", "a", "n"])["c"].transform("sum").to_numpy()
+        np.maximum.at(most, frame, contact)
+        most = most[frame]
+        score = np.where(most > 0, contact / np.maximum(most, 1), 0.0)
+        return pd.DataFrame({"frame": pdf["frame"], "atom": pdf["atom"], "named": named, "contact": contact, "score": score, "found": contact > 0})
+
+    return run
+
+
+def _whole_frames(placed: DataFrame, spacing: float, scale: float, axis: int, atoms: int) -> DataFrame:
+    """Result rows of frames that one task floods whole, many frames to a task."""
+    kinds = dict(placed.dtypes)
+    tasks = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-atoms // ATOMS_PER_TASK))
+    cell = [F.col("_cell")[i][k].alias(f"m{3 * i + k}") for i in range(3) for k in range(3)]
+    # no nulls, so that pandas keeps whole numbers
+    rows = _reach(placed, spacing, scale).select("frame", F.coalesce(F.col("atom").cast("long"), F.lit(-1)).alias("atom"), F.col("atom").isNotNull().alias("named"), "_r", *cell,
+                                                 *[f"{kind}{c}" for kind in ("d", "f", "c", "lo", "hi") for c in AXES])
+    solve = _solve_frames(axis)
+    done = rows.groupBy(F.pmod(F.xxhash64("frame"), F.lit(tasks)).alias("_k")).applyInPandas(
+        lambda pdf: solve(pdf), f"frame {kinds['frame']}, atom long, named boolean, contact long, score double, found boolean")
+    return done.select("frame", F.when(F.col("named"), F.col("atom")).cast(kinds["atom"]).alias("atom"), "contact", "score", "found")
+
+
+def voxel_surface(atoms: DataFrame, lattice: DataFrame, *, spacing: float = 0.8, scale: float = 1.15, axis: int = 2, block: int = BLOCK, whole: int = WHOLE_VOXELS) -> DataFrame:
     """``frame, atom, contact, score, found``: how many of the six neighbours of an atom's voxel lie outside.
 
     ``atoms``: ``frame, atom, z, px, py, pz``; ``lattice``: ``frame, cell, pbc`` with a cell of
     non-zero volume. A voxel is full within ``scale`` times an atom's radius, at least
     ``spacing``, of an atom. Empty voxels connected by faces to the lowest or highest layer along
     ``axis`` are outside; the flood itself does not wrap. ``score`` is the contact over the
-    frame's largest one. Frames without a cell give no rows.
+    frame's largest one. Frames without a cell give no rows. Frames of up to ``whole`` voxels
+    and ``WHOLE_ATOMS`` atoms go whole to a task, larger ones block by block: the result is the same.
     """
     p = settle(_placed(atoms.select("frame", "atom", "z", "px", "py", "pz"), lattice, spacing, axis))
+    voxels = F.col("dx").cast("long") * F.col("dy") * F.col("dz")
+    sizes = p.groupBy("frame").agg(F.count(F.lit(1)).alias("_n"), F.max(voxels).alias("_v"))
+    large = (F.col("_v") > whole) | (F.col("_n") > WHOLE_ATOMS)
+    total, many = sizes.agg(F.sum("_n"), F.sum(F.when(large, F.col("_n")))).first()
+    if not many:
+        return _whole_frames(p, spacing, scale, axis, total or 0)
+    if many == total:
+        return _by_blocks(p, spacing, scale, axis, block)
+    big = settle(sizes.where(large).select("frame"))
+    small = _whole_frames(p.join(big, "frame", "left_anti"), spacing, scale, axis, total - many)
+    return small.unionByName(_by_blocks(settle(p.join(big, "frame", "left_semi")), spacing, scale, axis, block))
+
+
+def _by_blocks(p: DataFrame, spacing: float, scale: float, axis: int, block: int) -> DataFrame:
+    """Result rows of large frames: a task labels blocks, the parts that meet at borders are joined."""
     dims = p.select("frame", "dx", "dy", "dz").distinct()
     # no nulls, so that pandas keeps whole numbers
     none = lambda name, kind="int": F.lit(-1).cast(kind).alias(name)
@@ -170,10 +300,10 @@ def voxel_surface(atoms: DataFrame, lattice: DataFrame, *, spacing: float = 0.8,
     asked = p.withColumn("_s", F.explode(steps)).select("frame", F.col("atom").cast("long").alias("atom"), *[(F.col(f"c{c}") + F.col("_s")[i]).alias(c) for i, c in enumerate(AXES)], "dx", "dy", "dz")
     inside = [(F.col(c) >= 0) & (F.col(c) < F.col(f"d{c}")) for c in AXES]
     asked = asked.where(inside[0] & inside[1] & inside[2]).select("frame", *of, F.lit(2).alias("kind"), *AXES, none("dx"), none("dy"), none("dz"), "atom")
-    kind = dict(atoms.dtypes)["frame"]
+    kind = dict(p.dtypes)["frame"]
     solve = _solve_blocks(block, axis)
     rows = head.unionByName(full).unionByName(asked)
-    tasks = max(int(atoms.sparkSession.conf.get("spark.sql.shuffle.partitions")), head.count() // BLOCKS_PER_TASK)
+    tasks = max(int(p.sparkSession.conf.get("spark.sql.shuffle.partitions")), head.count() // BLOCKS_PER_TASK)
     solved = settle(rows.groupBy(F.pmod(F.xxhash64("frame", *blocks), F.lit(tasks)).alias("_k")).applyInPandas(
         lambda pdf: solve(pdf), f"frame {kind}, kind int, side int, x int, y int, z int, part long, atom long"))
     parts = settle(solved.where("kind = 0").select("frame", "part").withColumn("id", F.monotonically_increasing_id()))

@@ -66,6 +66,25 @@ def test_voxel_surface(spark, block, axis):
         assert all(got[f, i]["found"] == (w > 0) and got[f, i]["score"] == pytest.approx(w / max(want) if max(want) else 0.0) for i, w in enumerate(want))
 
 
+@pytest.mark.parametrize("whole", [0, 1_000, 32_768])
+def test_voxel_surface_of_small_frames(spark, monkeypatch, whole):
+    """Small frames are flooded whole, many to a task, without blocks; both ways agree, for atoms without a number too."""
+    rng = np.random.default_rng(11)
+    cells = [[[6.0, 0.0, 0.0], [2.0, 7.0, 0.0], [0.5, -1.0, 9.0]], [[9.0, 0.0, 0.0], [0.0, 9.0, 0.0], [0.0, 0.0, 9.0]]]
+    frames = {f: ([(int(rng.choice([1, 6, 29])), tuple(rng.uniform(-2, 9, 3))) for _ in range(3 + f)], cells[f % 2]) for f in range(4)}
+    rows = [(f, i or None, z, *map(float, p)) for f, (atoms, _) in frames.items() for i, (z, p) in enumerate(atoms)]
+    lattice = spark.createDataFrame([(f, c, [True, True, False]) for f, (_, c) in frames.items()], LATTICE)
+    used, by_blocks = [], V._by_blocks
+    monkeypatch.setattr(V, "_by_blocks", lambda p, *a: used.append(p.select("frame").distinct().count()) or by_blocks(p, *a))
+    got = {(r["frame"], r["atom"]): r for r in V.voxel_surface(spark.createDataFrame(rows, SLAB), lattice, spacing=0.9, scale=0.8, block=4, whole=whole).collect()}
+    assert len(got) == len(rows) and used == {0: [4], 1_000: [2], 32_768: []}[whole]
+    for f, (atoms, cell) in frames.items():
+        want = flood_by_hand(atoms, cell, [True, True, False], 0.9, 0.8)
+        want[0] = 0  # an atom without a number has no contacts
+        assert [got[f, i or None]["contact"] for i in range(len(atoms))] == want
+        assert all(got[f, i or None]["score"] == pytest.approx(w / max(max(want), 1)) for i, w in enumerate(want))
+
+
 def test_height_ladder_and_rescue(spark):
     """Ladder, contact rule before and after halving, and rescue, in a skewed cell, against a scan with listed images."""
     cell, pbc = np.array([[5.0, 0.0, 0.0], [2.0, 5.5, 0.0], [0.0, 0.0, 30.0]]), [True, True, False]
