@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -221,3 +222,26 @@ def test_small_groups_beside_a_large_one(spark):
     got = sorted((r["_a"], r["_b"]) for r in near_pairs(prepared(df, "id", "x", "id", "g"), 0.05).collect())
     want = sorted((a, b) for a, g, x in rows for b, h, y in rows if a < b and g == h and np.sqrt(((np.array(x) - y) ** 2).sum()) <= 0.05)
     assert got == want
+
+
+@pytest.mark.parametrize("gated", [False, True])
+def test_first_fit_of_small_groups_in_one_pass(spark, monkeypatch, gated):
+    """Groups of few rows are solved whole, without a tile join: copies, repeated ids, undefined features, ties."""
+    from sievelark.operators import greedy as G
+
+    rng = random.Random(5)
+    rows = [(n, f"g{n % 7}", float(rng.randrange(4)), [rng.randrange(12) / 4, rng.randrange(12) / 4]) for n in range(200)]
+    rows += [rows[3], (200, "g1", 0.0, [float("nan"), 1.0]), (201, "g1", 0.0, None)]
+    df = spark.createDataFrame(rows, "id long, g string, e double, x array<double>")
+    gate = (lambda a, b: abs(a - b) <= 1.0) if gated else None
+    want = {200: 200, 201: 201}
+    for g in {r[1] for r in rows}:
+        reps = []
+        for n, _, e, x in sorted((r for r in rows if r[1] == g and r[0] < 200), key=lambda r: (r[2], r[0])):
+            near = [m for m, e2, y in reps if math.dist(x, y) <= 0.6 and (not gated or abs(e - e2) <= 1.0)]
+            want[n] = min(near, key=lambda m: (dict((k, v) for k, v, _ in reps)[m], m)) if near else n
+            if not near:
+                reps.append((n, e, x))
+    monkeypatch.setattr(G, "keep_first", None)
+    got = [tuple(r) for r in G.first_fit(df, id="id", feat="x", threshold=0.6, order="e", group="g", gate=gate).collect()]
+    assert len(got) == len(rows) and dict(got) == want
