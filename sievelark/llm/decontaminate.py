@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from sievelark.llm.common import documents, fresh, raw_texts, store
+from sievelark.llm.common import documents, each_text, fresh, give_back, raw_texts, store
 from sievelark.llm.registry import query
 from sievelark.sources.tables import table
 
@@ -177,9 +177,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, unnamed:
         def scan(batches: Iterator[pa.RecordBatch], shared=shared, first=b == 0, columns=[f.name for f in kind.fields]) -> Iterator[pa.RecordBatch]:
             sam, names = pickle.loads(shared.value)
             for batch in batches:
-                texts = raw_texts(batch)
                 ns, spans, found = [], [], []
-                for t in texts:
+                for t in each_text(batch):
                     tokens = item_words(t)
                     s, f = sam.match(tokens)
                     ns.append(len(tokens))
@@ -192,6 +191,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, unnamed:
                     cols = cols[:-3]
                 made = [pa.array(ns, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(found, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols + made, names=columns)
+                give_back()
 
         out = out.mapInArrow(scan, kind)
         if b + 1 < n:  # one automaton in memory at a time
@@ -236,6 +236,8 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = 10, max_covera
             cols = list(batch.columns)[:-3]
             cols[at] = pa.array([None if t is None else t.decode("utf-8", "replace") for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields]).filter(pa.array(keep))
+            del texts
+            give_back()
 
     return hit.mapInArrow(cut, schema)
 

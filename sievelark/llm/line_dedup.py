@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sievelark.llm.common import WORD, documents, fresh, raw_texts, store
+from sievelark.llm.common import WORD, documents, fresh, give_back, raw_texts, store
 from sievelark.llm.registry import query
 
 MIN_WORDS = 50
@@ -116,6 +116,8 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, stats: bool = F
             cols = list(batch.columns)[:-1]
             cols[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(n), pa.array(gone), pa.array(words)] if made else []), names=names)
+            del texts, cuts
+            give_back()
 
     return joined.mapInArrow(cut, out)
 

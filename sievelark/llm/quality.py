@@ -11,7 +11,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from sievelark.llm.common import documents, held_out, raw_texts, store
+from sievelark.llm.common import documents, each_text, give_back, held_out, store
 from sievelark.llm.registry import query
 from sievelark.sources.tables import table
 
@@ -45,15 +45,21 @@ def features(text: bytes | None) -> np.ndarray:
     return x
 
 
+def raw_scores(batch: pa.RecordBatch, w: np.ndarray) -> np.ndarray:
+    """Weighted features of every text, of which a few are held at a time."""
+    return np.array([features(t) @ w for t in each_text(batch)], float)
+
+
 def _featured(docs: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` and ``x`` for rows with ``text`` last."""
     kind = ", ".join(f"{c} {dict(docs.dtypes)[c]}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.stack([features(t) for t in raw_texts(batch)]) if batch.num_rows else np.zeros((0, WIDTH))
+            x = np.stack([features(t) for t in each_text(batch)]) if batch.num_rows else np.zeros((0, WIDTH))
             flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), WIDTH).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], flat], names=[*keep, "x"])
+            give_back()
 
     return docs.select(*keep, "text").mapInArrow(run, f"{kind}, x array<double>")
 
@@ -113,9 +119,10 @@ def score(docs: DataFrame, keep: list[str], w: np.ndarray, cut: float) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = np.array([features(t) @ w for t in raw_texts(batch)], float) + shift
+            z = raw_scores(batch, w) + shift
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(p), pa.array((p >= KEEP).astype(np.int32))], names=[*keep, "score", "predicted"])
+            give_back()
 
     return docs.select(*keep, F.col("text")).mapInArrow(run, f"{kind}, score double, predicted int")
 
@@ -133,8 +140,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            z = np.array([features(t) @ w for t in raw_texts(batch)], float) + shift
+            z = raw_scores(batch, w) + shift
             yield batch.filter(pa.array(z >= math.log(KEEP / (1 - KEEP))))
+            give_back()
 
     return docs.mapInArrow(run, schema)
 
