@@ -3,6 +3,8 @@
 import math
 import random
 
+import pytest
+
 from sievelark.operators import poses as P
 from sievelark.operators import structure as S
 
@@ -30,6 +32,29 @@ def test_near_atoms_go_along_with_the_poses(spark):
     assert "MapInArrow" in above and "Join" not in above
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_sites_are_capped_whole(spark, monkeypatch, k):
+    """One pass gives what the rounds give: ties, repeated ids, several and missing families, undefined rotations."""
+    rng = random.Random(8)
+    rows = []
+    for n in range(160):
+        site = n % 13 if n < 150 else None
+        q = [rng.gauss(0, 1) for _ in range(4)]
+        q = [v / math.hypot(*q) for v in q] if n % 17 else None
+        rows.append((n, site, rng.choice(["flat", "tilted", "upright", None]) if site and site % 2 else None, rng.randrange(5) / 4, q, rng.randrange(3) / 3, rng.randrange(3) / 3, n % 5))
+    rows += [rows[20], (20, *rows[20][1:3], 0.9, *rows[20][4:]), (500, 77, "flat", 1.0, rows[1][4], 0.0, 0.0, 0)]
+    df = spark.createDataFrame(rows, "pose_id long, site_id long, orientation_family string, height double, quaternion array<double>, shift_u double, shift_v double, frame long")
+    got = sorted(map(str, P.cap_per_site(df, k).collect()))
+    rounds = sorted(map(str, df.join(P._cap_by_rounds(df, k, "pose_id"), "pose_id", "left_semi").select(*df.columns).collect()))
+    mixed_block = 12
+    monkeypatch.setattr(P, "CAP_BLOCK", mixed_block)
+    mixed = sorted(map(str, P.cap_per_site(df, k).select(*df.columns).collect()))
+    assert got == rounds == mixed
+    monkeypatch.setattr(P, "CAP_BLOCK", 65_536)
+    monkeypatch.setattr(P, "_cap_by_rounds", None)
+    assert P.cap_per_site(df, k).count() == len(got)
+
+
 def test_small_frames_meet_by_their_frame_alone(spark, monkeypatch):
     """Pairs of small frames need one exchange of each table; large frames give the same pairs by a grid."""
     rng = random.Random(2)
