@@ -71,3 +71,32 @@ def test_small_frames_meet_by_their_frame_alone(spark, monkeypatch):
     some = key(S.atoms_within(a, a, 3.0, max_cutoff=3.0, cell=cell))
     monkeypatch.setattr(S, "FEW", 512)
     assert key(S.atoms_within(a, a, 3.0, max_cutoff=3.0, cell=cell)) == some
+
+
+@pytest.mark.parametrize("case", ["plain", "gated", "turned", "repeated"])
+def test_small_groups_are_thinned_whole(spark, monkeypatch, case):
+    """Kept rows are those of the sequential rule, without batches of a tile join; large groups still take those."""
+    from sievelark.operators import greedy as G
+    from sievelark.operators.tiles import prepared
+
+    rng = random.Random(4)
+    rows = [(n, f"g{n % 6}", rng.randrange(5) / 2, [rng.randrange(9) / 4, rng.randrange(9) / 4, rng.choice([0.0, -0.0, 1.0])]) for n in range(240)]
+    rows += [(240, "g1", 0.0, [float("nan"), 0.0, 0.0]), (241, "g2", 0.5, rows[2][3]), (242, "g3", None, [9.0, 9.0, 0.0])]
+    if case == "repeated":
+        rows += [rows[7], (8, "g2", 9.0, [5.0, 5.0, 0.0])]
+    gate = (lambda a, b: abs(a - b) <= 1.0) if case == "gated" else None
+    by = {"dims": 2, "extra": lambda p, q: p[:, 0] == q[:, 0]} if case == "turned" else {}
+    df = prepared(spark.createDataFrame(rows, "id long, g string, e double, x array<double>"), "id", "x", "e", "g")
+    want = set()
+    for g in {r[1] for r in rows}:
+        reps = []
+        for n, _, e, x in sorted({(*r[:3], tuple(r[3])) for r in rows if r[1] == g and r[0] != 240}, key=lambda r: (math.inf if r[2] is None else r[2], r[0])):
+            d = lambda y: math.dist(x[:by.get("dims")], y[:by.get("dims")])
+            if not any(d(y) < 0.6 and (gate is None or abs(e - f) <= 1.0) and (not by or x[2] == y[2]) for f, y in reps):
+                reps.append((e if e is not None else math.inf, x))
+                want.add(n)
+    by_batches = sorted(r["_id"] for r in G._keep_in_batches(df.where("_id <> 240"), 0.6, True, gate, 4096, by.get("dims"), by.get("extra")).collect())
+    monkeypatch.setattr(G, "_keep_in_batches", None)
+    got = [r["_id"] for r in G.keep_first(df, 0.6, gate=gate, **by).collect()]
+    # the rows of id 8 stand or fall together
+    assert len(got) == len(by_batches) and sorted(got) == by_batches and set(got) - {8} == want - {8}
