@@ -73,7 +73,7 @@ def test_small_frames_meet_by_their_frame_alone(spark, monkeypatch):
     assert key(S.atoms_within(a, a, 3.0, max_cutoff=3.0, cell=cell)) == some
 
 
-@pytest.mark.parametrize("case", ["plain", "gated", "turned", "repeated"])
+@pytest.mark.parametrize("case", ["plain", "gated", "turned", "repeated", "doubled"])
 def test_small_groups_are_thinned_whole(spark, monkeypatch, case):
     """Kept rows are those of the sequential rule, without batches of a tile join; large groups still take those."""
     from sievelark.operators import greedy as G
@@ -84,6 +84,8 @@ def test_small_groups_are_thinned_whole(spark, monkeypatch, case):
     rows += [(240, "g1", 0.0, [float("nan"), 0.0, 0.0]), (241, "g2", 0.5, rows[2][3]), (242, "g3", None, [9.0, 9.0, 0.0])]
     if case == "repeated":
         rows += [rows[7], (8, "g2", 9.0, [5.0, 5.0, 0.0])]
+    if case == "doubled":
+        rows += rows
     gate = (lambda a, b: abs(a - b) <= 1.0) if case == "gated" else None
     by = {"dims": 2, "extra": lambda p, q: p[:, 0] == q[:, 0]} if case == "turned" else {}
     df = prepared(spark.createDataFrame(rows, "id long, g string, e double, x array<double>"), "id", "x", "e", "g")
